@@ -135,9 +135,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col:
 
     wanted = nodes.select(F.col("doc_id").alias("_want")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = texts.join(wanted, F.col("id").eqNullSafe(F.col("_want")), "left_semi").mapInArrow(make, "cid binary, shingles binary")
+    # By merge at every size: how many are wanted grows with the corpus.
+    made = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("_want")), "left_semi").mapInArrow(make, "cid binary, shingles binary")
     found = nodes.select("nid", "cid").join(made, "cid")
-    return found.select("nid", "shingles").dropDuplicates(["nid"])
+    return found.groupBy("nid").agg(F.first("shingles").alias("shingles"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -159,6 +160,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInPandas(compare, "x long, y long")
 
 
+def _scan_groups(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """run(key, rows of the key as a table) for each key. A partition is read in key order, so only one group and batch are held."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            own = np.stack([table.column(k).to_numpy() for k in keys])
+            edge = np.flatnonzero(np.r_[True, (own[:, 1:] != own[:, :-1]).any(axis=0)])
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                yield from run(table.slice(a, b - a))
+            rest = table.slice(int(edge[-1]))
+        if rest is not None and rest.num_rows:
+            yield from run(rest)
+
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(scan, schema)
+
+
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(node, label) for all nodes of the links (x, y): the smallest node reachable. labels: those known before.
 
@@ -194,43 +217,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, id
     together. Only id and text are read.
     """
     rows = staged(signatures(docs, width, id_col, text_col), "signatures")
-    smallest = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    nodes = staged(smallest.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    signed = rows.where("cid is not null").select("cid", "doc_id", "sig", "bands")
-    signed = signed.join(nodes, (signed["cid"] == nodes["cid"]) & signed["doc_id"].eqNullSafe(nodes["doc_id"])).select("nid", "sig", "bands")
-    bands = signed.select("nid", F.explode("bands").alias("key"))
+    one = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    signed = staged(one.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    nodes = signed.select("nid", "cid", "doc_id")
+    bands = signed.select("nid", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high"), F.count("*").alias("n")).where("low < high")
-    members = staged(bands.join(shared.select("key", "n"), "key").distinct(), "members")
+    members = staged(bands.join(shared.select("key", "n"), "key"), "members")
     met = members.select("nid").distinct()
-    sigs = staged(signed.select("nid", "sig").join(met, "nid", "left_semi").dropDuplicates(["nid"]), "met")
+    # Two bytes of each band key stand behind the signature's bytes: they tell in which band two nodes meet first.
+    tags = F.transform("bands", lambda k: F.substring(F.hex(k), -4, 4))
+    tagged = F.concat("sig", F.unhex(F.array_join(F.transform(tags, lambda t: F.lpad(t, 4, "0")), "")))
+    sigs = staged(signed.select("nid", tagged.alias("sig")).join(met, "nid", "left_semi"), "met")
     sets = staged(_sets(docs, nodes.join(met, "nid", "left_semi"), width, id_col, text_col), "sets")
-
-    def compare(every: bool):
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            ids, label, sig = pdf["nid"].to_numpy(), pdf["label"].to_numpy(), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-            x, y, m = [], [], []
-            for i in range(len(pdf)):
-                other = label != label[i]
-                if every:
-                    other[: i + 1] = False
-                at = np.flatnonzero(other)
-                if not len(at):
-                    continue
-                own, equal = survivors(sig[i], sig[at], threshold)
-                if not len(own):
-                    continue
-                if not every:
-                    best = np.lexsort((ids[at[own]], -equal))[:1]
-                    own, equal = own[best], equal[best]
-                x.append(np.full(len(own), ids[i]))
-                y.append(ids[at[own]])
-                m.append(equal)
-            if not x:
-                return pd.DataFrame({"x": [], "y": [], "m": []}).astype("int64")
-            return pd.DataFrame({"x": np.concatenate(x), "y": np.concatenate(y), "m": np.concatenate(m).astype(np.int64)})
-
-        return run
-
     labels = links = None
     #: Largest buckets of a node that a round looks at; None: all buckets, and all pairs between components.
     for few in (3, 6, None):
@@ -243,14 +241,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, id
             own = own.withColumn("label", F.col("nid"))
         if few:
             place = F.row_number().over(W.partitionBy("nid").orderBy(F.desc("n"), F.xxhash64("key", F.lit(few))))
-            own = own.withColumn("place", place).where(F.col("place") <= few).drop("place")
-            part = F.pmod(F.xxhash64("nid"), F.ceil(F.col("n") / BLOCK))
-            grouped = own.withColumn("part", part).join(sigs, "nid").groupBy("key", "part")
-            best = grouped.applyInPandas(compare(False), "x long, y long, m long")
-            best = best.groupBy("x").agg(F.max_by("y", F.struct("m", -F.col("y"))).alias("y"))
+            own = own.withColumn("place", place).where(F.col("place") <= few)
+            blocks = own.withColumn("low", F.pmod(F.xxhash64("nid"), F.ceil(F.col("n") / BLOCK))).withColumn("high", F.col("low")).withColumn("part", F.col("low"))
         else:
-            best = _all_between(own, sigs, compare(True))
-        pairs = best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+            # Of a large bucket each pair of blocks is a group.
+            most = F.ceil(F.col("n") / BLOCK)
+            blocks = own.withColumn("part", F.pmod(F.xxhash64("nid"), most)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
+            blocks = blocks.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+        rows_of = blocks.join(sigs, "nid").select("key", "low", "high", "part", "band", "nid", "label", "sig")
+        found = _scan_groups(rows_of, ["key", "low", "high"], _comparer(few is None, threshold), "x long, y long, m long")
+        if few:
+            found = found.groupBy("x").agg(F.max_by("y", F.struct("m", -F.col("y"))).alias("y"))
+        pairs = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         new = staged(_verified(pairs, sets, threshold), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links, labels)
@@ -262,10 +264,43 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, id
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _all_between(own: DataFrame, sigs: DataFrame, compare) -> DataFrame:
-    """Surviving pairs between components in each bucket; of a large bucket, block by block: each pair of blocks is a group."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("nid"), blocks).cast("int")
-    own = own.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    own = own.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    return own.join(sigs, "nid").groupBy("key", "low", "high").applyInPandas(compare, "x long, y long, m long")
+def _comparer(every: bool, threshold: float):
+    """Compares a bucket's nodes of different components: each node's best survivor, or every pair in the first band that it shares."""
+    schema = pa.schema([(c, pa.int64()) for c in "xym"])
+    width = BANDS * ROWS
+
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, label, part = (group.column(c).to_numpy() for c in ("nid", "label", "part"))
+        if (label == label[0]).all():
+            return
+        both = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sig, tags = np.ascontiguousarray(both[:, :width]), np.ascontiguousarray(both[:, width:]).view(np.uint16)
+        band, split = group.column("band")[0].as_py(), group.column("low")[0].as_py() != group.column("high")[0].as_py()
+        x, y, m = [], [], []
+        for i in range(len(ids)):
+            other = label != label[i]
+            if every:
+                other[: i + 1] = False
+                if split:  # pairs inside a block belong to the block's own group
+                    other &= part != part[i]
+            at = np.flatnonzero(other)
+            if not len(at):
+                continue
+            own, equal = survivors(sig[i], sig[at], threshold)
+            own = at[own]
+            if not len(own):
+                continue
+            if every:
+                same = (sig[own].reshape(-1, BANDS, ROWS) == sig[i].reshape(BANDS, ROWS)).all(axis=2) & (tags[own] == tags[i])
+                first = same.argmax(axis=1) == band
+                own, equal = own[first], equal[first]
+            else:
+                best = np.lexsort((ids[own], -equal))[:1]
+                own, equal = own[best], equal[best]
+            x.append(np.full(len(own), ids[i]))
+            y.append(ids[own])
+            m.append(equal)
+        if x:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (x, y, m)], schema=schema)
+
+    return run
