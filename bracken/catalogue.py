@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from .plans.registered import QUERIES, SQL, flagship
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
 
+def queries() -> dict:
+    return dict(QUERIES)
 
-def queries():
-    return {}
 
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
 
-def oracle_sql():
-    return {}
+
+__all__ = ["flagship", "oracle_sql", "queries"]
