@@ -63,7 +63,7 @@ def top_neighbors(vectors: DataFrame, k: int = SEMANTIC_MOST, floor: float = SEM
     """
     rows = vectors.select("chunk_id", "arrival", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("own"))
     left = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = rows.withColumnRenamed("own", "o").withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = rows.select(*[F.col(c).alias(f"{c}_") for c in rows.columns]).withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def unit(x: pd.Series) -> np.ndarray:
         m = np.stack(x.to_numpy())
@@ -73,15 +73,15 @@ def top_neighbors(vectors: DataFrame, k: int = SEMANTIC_MOST, floor: float = SEM
     def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(a) and len(b):
-            sims = np.clip(unit(a["embedding"]) @ unit(b["embedding"]).T, 0, 1)
-            ids, when = b["chunk_id"].to_numpy(), b["arrival"].to_numpy()
+            sims = np.clip(unit(a["embedding"]) @ unit(b["embedding_"]).T, 0, 1)
+            ids, when = b["chunk_id_"].to_numpy(), b["arrival_"].to_numpy()
             for i, (c, at) in enumerate(zip(a["chunk_id"], a["arrival"])):
                 ok = np.flatnonzero((when < at) & (sims[i] >= floor - 1e-9))
                 own = ok[np.lexsort((ids[ok], -np.round(sims[i][ok], 9)))][:k]
                 out += [(c, ids[j], float(sims[i][j])) for j in own]
         return pd.DataFrame(out, columns=["chunk_id", "other", "sim"]).astype({"chunk_id": "object", "other": "object", "sim": "float64"})
 
-    both = left.groupBy("own", "other").cogroup(right.groupBy("w", "o")).applyInPandas(best, "chunk_id string, other string, sim double")
+    both = left.groupBy("own", "other").cogroup(right.groupBy("w", "own_")).applyInPandas(best, "chunk_id string, other string, sim double")
     order = W.partitionBy("chunk_id").orderBy(F.desc(F.round("sim", 9)), "other")
     return both.where(F.col("sim") >= floor).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
