@@ -8,13 +8,16 @@ their numbers; pieces are dealt to them by rank within their length, in Spark.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,34 +26,69 @@ from .common import inline_rows, staged
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Tokens of this many distinct space-free strings are kept by a worker.
+#: Words whose ids a worker keeps.
 CACHED = 200_000
 
 
+#: Texts of these characters only are cut here: ASCII without the separators 28 to 31, and letters that no normal form changes.
+_PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
+#: The tokenizer's own first cut, for such characters in lower case.
+_FIRST_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0d\x20a-zß-öø-ÿ0-9]+")
+
+
 class Encoder:
     """Ids of whole texts as little-endian bytes.
 
-    This tokenizer splits at white space first, so the ids of a text are those of its parts between ASCII white
-    space; parts that come again are looked up.
+    The tokenizer first cuts a text to words, and the ids of a word don't depend on the others. So words are looked
+    up, and only new ones are encoded, many at a time: the last id of a word carries the end mark, which tells them
+    apart. Texts with other characters, or with what may be a special token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            ids = self._ids(" ".join(some))
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(some):
+                data, start = ids.tobytes(), 0
+                for word, end in zip(some, (4 * at).tolist()):
+                    self.known[word] = data[start:end]
+                    start = end
+            else:
+                for word in some:
+                    self.known[word] = self._ids(word).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [re.split(r"[ \t\n\r]+", x) for x in texts]
-        new = list({p for x in parts for p in x if p not in self.known})
+        plain = [_PLAIN.fullmatch(x) is not None and "<|" not in x for x in texts]
+        words = [_FIRST_CUT.findall(x.lower()) if ok else [] for x, ok in zip(texts, plain)]
+        every = set().union(*words)
+        new = list(every.difference(self.known))
         if len(self.known) + len(new) > CACHED:
             self.known.clear()
-            new = list({p for x in parts for p in x})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) for x in parts]
+            new = list(every)
+        self._learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, w)) if ok else self._ids(x).tobytes() for x, w, ok in zip(texts, words, plain)]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """A worker's own, kept from task to task."""
+    return Encoder(path)
 
 
 def tokenizer_path() -> str:
@@ -65,21 +103,23 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, ids: bool = F
     A null text is empty. path: the tokenizer's file on the executors. ids: with the ids themselves, as bytes.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
-        for pdf in batches:
-            rows: list[tuple] = []
-            keys, texts = pdf["id"].tolist(), [x or "" for x in pdf["text"]]
-            for i in range(0, len(texts), 500):
-                for key, data in zip(keys[i : i + 500], encoder.encode(texts[i : i + 500])):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_encoder, end = encoder(path), np.array([END_ID], "<u4").tobytes()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                rows: list[tuple] = []
+                keys, texts = part.column("id").to_pylist(), [x or "" for x in part.column("text").to_pylist()]
+                for key, data in zip(keys, own_encoder.encode(texts)):
                     data += end
                     for p, at in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[at : at + 4 * capacity]
-                        rows.append((None if pd.isna(key) else key, p, at // 4, len(own) // 4, zlib.crc32(own), *([own] if ids else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]).astype({"doc_id": "Int64"})
+                        rows.append((key, p, at // 4, len(own) // 4, zlib.crc32(own), *([own] if ids else [])))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
 
+    fields = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if ids else [])])
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[list[int], int]], dict[int, int]]:
