@@ -37,7 +37,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 14.0),
     Rule("symbols", "n_symbols", "n_words", most=0.10),
     Rule("stop_words", "n_stop_words", "n_words", least=0.02, from_words=40),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.40),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", most=0.30, from_words=40),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", most=0.90, from_words=40),
 )
