@@ -126,4 +126,6 @@ def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = places.groupBy("r_regionkey", "r_name").agg(F.array_join(F.sort_array(F.collect_list("nat")), " ").alias("nats"))
     regions = anchors.select(F.concat(F.lit("region-"), F.col("r_regionkey").cast("string")).alias("doc_id"), F.concat(F.lit("region_"), F.col("r_regionkey").cast("string"), F.lit(".txt")).alias("filename"), F.lit("indexed").alias("status"), F.concat(F.lit("Related anchors: "), "nats").alias("text"))
     cards = anchors.select(F.concat(F.lit("title-"), F.col("r_regionkey").cast("string")).alias("doc_id"), F.concat(F.lit("title_"), F.col("r_regionkey").cast("string"), F.lit(".md")).alias("filename"), F.lit("indexed").alias("status"), F.concat(F.lit("title: Region card tags: trade company: "), "r_name", F.lit(" anchors: "), "nats").alias("text"))
-    return customers.unionByName(nations).unionByName(regions).unionByName(cards)
+    listed = F.concat(F.lit("Every nation of the region "), "r_name", F.lit(" has a listing of its customer files, see there: "), "nats", F.lit("."))
+    indexes = anchors.select(F.concat(F.lit("zindex-"), F.col("r_regionkey").cast("string")).alias("doc_id"), F.concat(F.lit("region"), F.col("r_regionkey").cast("string"), F.lit("_index.md")).alias("filename"), F.lit("indexed").alias("status"), listed.alias("text"))
+    return customers.unionByName(nations).unionByName(regions).unionByName(cards).unionByName(indexes)

@@ -83,7 +83,8 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         """select 'cust-' || lpad(c_custkey::varchar, 9, '0') as doc_id, 'cust_' || c_custkey || '.txt' as filename, 'content' as doc_class, case when any_value(c_acctbal) < 0 then 'error' else 'indexed' end as status, string_agg(line, chr(10) order by o_orderkey) as text from lines group by c_custkey
 union all select 'nation-' || lpad(n_nationkey::varchar, 3, '0'), 'README-' || n_name || '.md', 'reference', 'indexed', 'Nation listing of ' || nat || ' with customer files. ' || string_agg('cust_' || c_custkey || '.txt holds shipped orders.', ' ' order by c_custkey) from (select distinct n_nationkey, n_name, nat, c_custkey from lines) group by n_nationkey, n_name, nat
 union all select 'region-' || r_regionkey, 'region_' || r_regionkey || '.txt', 'content', 'indexed', 'Related anchors: ' || string_agg(nat, ' ' order by nat) from places group by r_regionkey
-union all select 'title-' || r_regionkey, 'title_' || r_regionkey || '.md', 'content', 'indexed', 'title: Region card tags: trade company: ' || r_name || ' anchors: ' || string_agg(nat, ' ' order by nat) from places group by r_regionkey, r_name""",
+union all select 'title-' || r_regionkey, 'title_' || r_regionkey || '.md', 'content', 'indexed', 'title: Region card tags: trade company: ' || r_name || ' anchors: ' || string_agg(nat, ' ' order by nat) from places group by r_regionkey, r_name
+union all select 'zindex-' || r_regionkey, 'region' || r_regionkey || '_index.md', 'reference', 'indexed', 'Every nation of the region ' || r_name || ' has a listing of its customer files, see there: ' || string_agg(nat, ' ' order by nat) || '.' from places group by r_regionkey, r_name""",
     ),
     "docs": (("trade_docs",), "select *, row_number() over (order by doc_id) as arrival from trade_docs"),
     "pdocs": (("prose_docs",), "select * from prose_docs"),

@@ -19,7 +19,7 @@ from ..operators import search as S
 from ..operators.entities import terms_of
 from ..operators.lexical import bm25, corpus_stats, postings, term_stats
 from ..operators.pack import context_packs
-from ..sources.parse import json_lines, preprocess_plan, rows_as_text, with_sidecars
+from ..sources.parse import json_lines, parse_files, preprocess_plan, rows_as_text, with_sidecars
 from . import lifecycle as L
 from . import oracle as O
 from .corpora import literal_queries, prose, read, trade
@@ -97,6 +97,20 @@ def _(spark, d):
     return read(spark, d, "events").select("event_id", flat("props").alias("text"))
 
 
+@query("src_08_markdown_pages")
+def _(spark, d):
+    files = prose(spark, d).documents.select("path", "filename", F.lit("md").alias("format"), F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("string").alias("sidecar"))
+    return parse_files(files).select("path", F.posexplode("pages").alias("page", "p")).select("path", "page", F.length("p.text").alias("chars"))
+
+
+@query("src_11_json_pages")
+def _(spark, d):
+    events = read(spark, d, "events").groupBy("user_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value", "props")))).alias("text"))
+    path = F.concat(F.lit("/e/"), F.col("user_id").cast("string"), F.lit(".json"))
+    files = events.select(path.alias("path"), T.filename(path).alias("filename"), T.format_of(path).alias("format"), F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("string").alias("sidecar"))
+    return parse_files(files).select("path", F.inline("pages")).select("path", "page_num", F.octet_length("text").alias("bytes"))
+
+
 @query("src_19_clean_transcript", "select conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') || [role], ' ') as text from conversations")
 def _(spark, d):
     c = read(spark, d, "conversations")

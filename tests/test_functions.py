@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bracken.functions import text as T
 from bracken.functions.vectors import cosine, hash_embedding
+from bracken.operators import edges as E
 from bracken.operators import evaluate as V
 from bracken.operators import search as S
 from bracken.operators.chunking import cut
@@ -96,6 +97,14 @@ def test_final_score(spark):
         assert abs(r.got - r.want) < 1e-9
 
 
+def test_semantic_edges(spark):
+    rows = [("a1", "a", 1, [1.0, 0.0]), ("a2", "a", 1, [0.9, 0.1]), ("b1", "b", 2, [0.7, 0.7]), ("c1", "c", 3, [-1.0, 0.0])]
+    v = spark.createDataFrame(rows, "chunk_id string, doc_id string, arrival long, embedding array<double>")
+    assert [(r.src_chunk, r.dst_chunk, r.reason) for r in E.semantic_within(v).collect()] == [("a1", "a2", "cos:0.99")]
+    across = {(r.src_chunk, r.dst_chunk): r.edge_type for r in E.semantic_across(v).collect()}
+    assert across == {("a1", "b1"): "semantic", ("a2", "b1"): "semantic"}
+
+
 def test_status_and_index(spark):
     df = spark.createDataFrame([(0.0, 1.0), (0.86, 0.45), (0.75, 0.35), (0.6, 0.2), (0.59, 0.9)], "r double, p double")
     assert [x.s for x in df.select(V.status(F.col("r"), F.col("p")).alias("s")).collect()] == ["critical_fail", "strong_pass", "pass", "weak_pass", "fail"]
