@@ -21,18 +21,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more share go; a document left without a word goes with them."""
+    """Lines that ten documents or more share go; every document stays, also one that is left empty."""
     cleaned = dedup_lines(docs.select(F.struct("*").alias("row"), "doc_id", "text"), min_docs=10)
-    cleaned = cleaned.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
     chars = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
     return cleaned.select(F.col("row").withField("text", text).withField("n_chars", chars).alias("row")).select("row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest doc_id."""
+    """One document of each group of near duplicates stays, that with the smallest doc_id; those without an id stay too."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    named, unnamed = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    return named.join(kept, named["doc_id"] == kept["_kept"], "left_semi").unionByName(unnamed)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
