@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import give_back, small_batches
+
 #: First and last code point of the scripts that are told apart; any other letter is "other".
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)],
@@ -197,7 +199,9 @@ def train(docs: DataFrame, per_lang: int = 1500, max_langs: int = 64, penalty: f
                     for k, s in enumerate(w.slots()):
                         slot, n = np.unique(s[inside], return_counts=True)
                         yield pd.DataFrame({"lang": lang, "kind": k, "slot": slot.astype(np.int64), "n": n})
+        give_back()
 
+    small_batches(docs.sparkSession)
     counts = sample.select("lang", "text").mapInPandas(count, "lang string, kind int, slot long, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
     found = counts.toPandas()
     logp = np.zeros((len(GRAMS), SLOTS, max(1, len(langs))), np.float32)
@@ -228,6 +232,9 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
         for texts in batches:
             found = m.spans([x or "" for x in texts]) if m.langs else [[] for _ in texts]
             yield pd.Series([[{"lang": a, "start": b, "end": c, "share": d} for a, b, c, d in x] for x in found])
+        give_back()
+
+    small_batches(docs.sparkSession)
 
     udf = F.pandas_udf(spans_of, "array<struct<lang:string,start:int,end:int,share:double>>")
     out = docs.withColumn("spans", udf(F.col(text_col)))

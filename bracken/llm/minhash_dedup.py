@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import give_back, small_batches, staged
 from .shingles import mix, shingle_set, word_hashes
 
 U = np.uint64
@@ -119,7 +119,9 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                     out.append((key, 0, None, None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "doc_id long, n long, cid binary, sig binary, bands array<long>")
 
 
@@ -132,6 +134,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col:
             own = [(hashlib.blake2b(s, digest_size=16).digest(), s.tobytes()) for _, s in _signed_rows(batch, width)]
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*own)], schema=schema)
+        give_back()
 
     wanted = nodes.select(F.col("doc_id").alias("_want")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -155,6 +158,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 shared = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * shared >= percent * (len(both) - shared))
             yield pdf.loc[np.array(ok, bool), ["x", "y"]]
+        give_back()
 
     a, b = sets.select(F.col("nid").alias("x"), F.col("shingles").alias("a")), sets.select(F.col("nid").alias("y"), F.col("shingles").alias("b"))
     return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInPandas(compare, "x long, y long")
@@ -178,6 +182,7 @@ def _scan_groups(rows: DataFrame, keys: list[str], run, schema: str) -> DataFram
             rest = table.slice(int(edge[-1]))
         if rest is not None and rest.num_rows:
             yield from run(rest)
+        give_back()
 
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(scan, schema)
 

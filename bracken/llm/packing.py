@@ -8,7 +8,6 @@ their numbers; pieces are dealt to them by rank within their length, in Spark.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import inline_rows, staged
+from .common import give_back, inline_rows, small_batches, staged
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -50,7 +49,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        suffix = self.tokenizer.model.end_of_word_suffix
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
@@ -116,7 +115,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, ids: bool = F
                         own = data[at : at + 4 * capacity]
                         rows.append((key, p, at // 4, len(own) // 4, zlib.crc32(own), *([own] if ids else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+        give_back()
 
+    small_batches(docs.sparkSession)
     fields = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if ids else [])])
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)

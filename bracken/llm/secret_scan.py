@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, small_batches
+
 #: The base kinds and their patterns; their order breaks ties of spans that start together.
 ASSIGN = r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -102,6 +104,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own = batch.slice(i, 500)
                 spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(x or "")] for x in own.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([own.column("id"), pa.array(spans, kind)], names=["id", "spans"])
+        give_back()
+
+    small_batches(docs.sparkSession)
 
     id_type = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(find, f"id {id_type}, spans array<struct<kind:string,start:int,end:int>>")

@@ -10,7 +10,7 @@ import numpy as np
 U = np.uint64
 _BASE, _MIX1, _MIX2 = U(0x9E3779B97F4A7C15 | 1), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Bytes that are hashed at once: bounds a worker's memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:

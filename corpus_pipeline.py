@@ -14,8 +14,10 @@ from bracken.llm.source_mixing import emit_copies, mix_sources
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a recognised language go; where no row names a language to learn, those without a letter."""
     model = train(docs.where(~is_held_out()))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     labelled = label_languages(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), model)
     return labelled.where("lang_pred <> 'und'").select("row.*")
 

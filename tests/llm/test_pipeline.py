@@ -28,6 +28,13 @@ def test_stages(spark):
     assert packed.where("piece = 0").count() == mixed.count() and ends.where("a <> b or a > 4096").count() == 0
 
 
+def test_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "some text", None, None, 9), (2, "1 2", None, None, 3), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in pipeline.language_stage(spark, docs, SF).collect()] == [1]
+    for _, stage in pipeline.STAGES[1:]:
+        assert stage(spark, docs, SF).count() >= 3 and stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_registered():
     assert sorted(n.split("_")[0] for n in queries()) == sorted(f"op{k}" for k in range(1, 11))
     assert set(oracle_sql()) <= set(queries())
