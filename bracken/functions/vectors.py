@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +55,25 @@ def hash_embedding(text: Column) -> Column:
         return F.transform(F.array(F.struct(v.alias("v"), norm.alias("n"))), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x)))[0]
 
     return F.transform(F.array(counts), unit)[0]
+
+
+@lru_cache(maxsize=200_000)
+def _bucket(token: str) -> int:
+    h = HASH_START
+    for b in token.encode():
+        h = ((h ^ b) * ((1 << 40) + HASH_LOW)) & 0xFFFFFFFFFFFFFFFF
+    return h % DIM
+
+
+def _embed(texts: pd.Series) -> pd.Series:
+    out = []
+    for text in texts:
+        v = np.bincount([_bucket(t) for t in (text or "").split()], minlength=DIM).astype(float)
+        n = np.sqrt((v * v).sum())
+        out.append(v / n if n else v)
+    return pd.Series(out)
+
+
+def embed_text(text: Column) -> Column:
+    """hash_embedding for many texts: counting into 384 places is quicker in one array than in an expression."""
+    return F.pandas_udf(_embed, "array<double>")(text)

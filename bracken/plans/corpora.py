@@ -86,7 +86,11 @@ _OPEN: dict[tuple[str, str, str], Corpus] = {}
 def _opened(kind: str, spark: SparkSession, sf_dir: str, documents) -> Corpus:
     key = (kind, spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
-        _OPEN[key] = Corpus(staged(documents(spark, sf_dir), f"{kind}-docs"))
+        docs, cores = documents(spark, sf_dir), spark.sparkContext.defaultParallelism
+        # A table in a few files would be cut and read by as few tasks; one in many needs no exchange.
+        if read(spark, sf_dir, "documents" if kind == "prose" else "orders").rdd.getNumPartitions() < cores:
+            docs = docs.repartition(cores)
+        _OPEN[key] = Corpus(staged(docs, f"{kind}-docs"))
     return _OPEN[key]
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import hash_embedding
+from ..functions.vectors import embed_text
 from ..operators import edges as E
 from ..operators.chunking import chunk_pages
 from ..operators.entities import extract_entities
@@ -27,7 +27,7 @@ class AlreadyIndexing(RuntimeError):
 class Engine:
     """embed: a text column to a vector column; by default the deterministic hash embedding. hooks: readers of images, films and recordings."""
 
-    def __init__(self, spark: SparkSession, root: str, embed: Callable = hash_embedding, embed_version: str = "hash-384", hooks: dict | None = None, graph_search: bool = False):
+    def __init__(self, spark: SparkSession, root: str, embed: Callable = embed_text, embed_version: str = "hash-384", hooks: dict | None = None, graph_search: bool = False):
         self.spark, self.root, self.embed, self.version, self.hooks, self.graph_search = spark, root, embed, embed_version, hooks, graph_search
         self._lock = threading.Lock()
 

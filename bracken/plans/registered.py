@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import cosine, hash_embedding
+from ..functions.vectors import cosine, embed_text, hash_embedding
 from ..operators import edges as E
 from ..operators import evaluate as V
 from ..operators import graph as G
@@ -1008,8 +1008,8 @@ def _(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over the trade corpus: dense, lexical and entity candidates, routing, ranking."""
     c = trade(spark, sf_dir)
-    q = literal_queries(spark).withColumn("embedding", hash_embedding(F.col("text")))
-    vec = staged(c.chunks.select("chunk_id", hash_embedding(F.col("content")).alias("embedding")), "vectors")
+    q = literal_queries(spark).withColumn("embedding", embed_text(F.col("text")))
+    vec = staged(c.chunks.select("chunk_id", embed_text(F.col("content")).alias("embedding")), "vectors")
     return S.hybrid_search(q, c.documents, c.chunks, c.entities, vec, posts=c.postings, visible=c.visible).drop("content")
 
 

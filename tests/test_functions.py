@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bracken.functions import text as T
-from bracken.functions.vectors import cosine, hash_embedding
+from bracken.functions.vectors import cosine, embed_text, hash_embedding
 from bracken.operators import edges as E
 from bracken.operators import evaluate as V
 from bracken.operators import search as S
@@ -71,7 +71,8 @@ def test_cosine_and_hash(spark):
         return h % 384
 
     texts = ["one two two Éa", ""]
-    for text, v in zip(texts, values(spark, texts, hash_embedding)):
+    for text, v, same in zip(texts, values(spark, texts, hash_embedding), values(spark, texts, embed_text)):
+        assert all(abs(a - b) < 1e-12 for a, b in zip(v, same))
         want = [0.0] * 384
         for t in text.split():
             want[bucket(t)] += 1
