@@ -218,12 +218,12 @@ def train(docs: DataFrame, per_lang: int = 1500, max_langs: int = 64, penalty: f
     return LanguageModel(langs, logp, script_ok, penalty)
 
 
-def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, *other columns, lang_pred, score, spans) for every row.
+def label_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred, score and spans for every row.
 
     lang_pred is the language of most letters, ties to the smaller name; score is its share of the letters. A null
     text, one without letters, and any text if nothing was learned is `und`, with score 0 and no spans. Columns
-    other than the text are returned as they are; they must not be named like the three new ones.
+    of docs are returned as they are, but for any with the names of the three new ones, which are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x n-gram lengths x SLOTS floats
 

@@ -81,7 +81,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
 
     Each row counts as a document, also one that repeats another. A null or empty text is one empty line and stays
     empty; keys under min_chars stay and aren't counted. If all lines go, the text is empty. All columns of docs are
-    returned as they are; the three new ones must not be among them.
+    returned as they are, but for any with the names of the three new ones, which are replaced.
     """
     text = F.col(text_col)
     keys = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), line_keys(text, min_chars).alias("keys"), F.pmod(F.xxhash64(id_col), F.lit(batches)).alias("batch"))

@@ -107,7 +107,7 @@ def test_dedup_lines(spark, docs):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(low)
     found = Counter(k for x in rows for k in {key(y) for y in (x[1] or "").split("\n")} if k)
-    out = {r.doc_id: r for r in dedup_lines(df, min_docs=10, batches=3).collect()}
+    out = {r.doc_id: r for r in dedup_lines(df.withColumn("n_dropped", F.lit("mine")), min_docs=10, batches=3).collect()}
     assert len(out) == len(rows) and sum(r.n_dropped for r in out.values()) > 0
     for x in rows:
         lines = (x[1] or "").split("\n")
@@ -268,7 +268,7 @@ def test_languages(spark):
     rows = [(k, " ".join(r.choice(vocab[lang]) for _ in range(30)), lang) for k, lang in enumerate(["en", "de", "el"] * 60)]
     mixed = " ".join(vocab["en"] * 3 + vocab["el"] * 2)
     rows += [(900, None, "en"), (901, "123 ...", None), (902, "", None), (903, mixed, None), (904, "дом вода", None), (None, "the house", "en")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("extra", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("mine"))
     model = train(df.where(~is_held_out()), penalty=6.0)
     out = {r.doc_id: r for r in label_languages(df, model).collect()}
     held = [r for r in out.values() if r.doc_id is not None and r.doc_id < 180 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
