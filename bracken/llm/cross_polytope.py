@@ -8,7 +8,6 @@ a bucket with a query are scored exactly, in double precision, inside the bucket
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,8 @@ from .common import staged
 
 #: Vectors of a bucket that one task scores at once; larger buckets are split by id.
 BUCKET_ROWS = 8192
+#: Queries that are compared with a bucket's vectors in one product.
+QUERY_ROWS = 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -34,43 +35,34 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    """tables x depth rotations of `dim`; a bucket is `depth` signed axes, written as one number."""
+    """A rotation of `dim` for each table; a bucket is a signed axis, written as one number.
 
-    def __init__(self, dim: int, tables: int, depth: int, seed: int = 11):
-        self.dim, self.tables, self.depth = dim, tables, depth
+    The number of buckets does not depend on the number of vectors: with more buckets and as many probes, neighbours
+    would be lost.
+    """
+
+    def __init__(self, dim: int, tables: int, seed: int = 11):
+        self.dim, self.tables = dim, tables
         self.width = 1 << max(1, (dim - 1).bit_length())
-        self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (tables, depth, 3, self.width))
+        self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (tables, 3, self.width))
 
-    def turned(self, x: np.ndarray, table: int, level: int) -> np.ndarray:
+    def turned(self, x: np.ndarray, table: int) -> np.ndarray:
         y = np.zeros((len(x), self.width), np.float32)
         y[:, : self.dim] = x
-        for signs in self.signs[table, level]:
+        for signs in self.signs[table]:
             y = hadamard(y * signs) / np.float32(self.width**0.5)
         return y
 
     def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
-        out = np.zeros(len(x), np.int64)
-        for level in range(self.depth):
-            y = self.turned(x, table, level)
-            axis = np.abs(y).argmax(axis=1)
-            out = out * (2 * self.width) + 2 * axis + (y[np.arange(len(x)), axis] < 0)
-        return out
+        y = self.turned(x, table)
+        axis = np.abs(y).argmax(axis=1)
+        return 2 * axis + (y[np.arange(len(x)), axis] < 0)
 
     def probes(self, x: np.ndarray, table: int, probes: int) -> np.ndarray:
-        """(rows, probes): the buckets whose axes are nearest in sum, the own one first."""
-        total, code = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
-        for level in range(self.depth):
-            y = self.turned(x, table, level)
-            both = np.concatenate((y, -y), axis=1)
-            m = min(probes, both.shape[1])
-            near = np.argsort(-both, axis=1, kind="stable")[:, :m]
-            value = np.take_along_axis(both, near, axis=1)
-            axis = 2 * (near % self.width) + near // self.width
-            total = (total[:, :, None] + value[:, None, :]).reshape(len(x), -1)
-            code = (code[:, :, None] * (2 * self.width) + axis[:, None, :]).reshape(len(x), -1)
-            best = np.argsort(-total, axis=1, kind="stable")[:, :probes]
-            total, code = np.take_along_axis(total, best, axis=1), np.take_along_axis(code, best, axis=1)
-        return code
+        """(rows, probes): the buckets whose axes are nearest, the own one first."""
+        y = self.turned(x, table)
+        near = np.argsort(-np.concatenate((y, -y), axis=1), axis=1, kind="stable")[:, :probes]
+        return 2 * (near % self.width) + near // self.width
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -89,11 +81,13 @@ def _cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def best_in_bucket(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (number, ids, scores) of the k nearest rows, ties to the smaller id."""
-    rough_all = _unit(queries) @ _unit(data).T if len(data) > 4 * k else None
+    unit = _unit(data).T if len(data) > 4 * k else None
     for i in range(len(queries)):
         at = np.arange(len(data))
-        if rough_all is not None:
-            rough = rough_all[i]
+        if unit is not None:
+            if i % QUERY_ROWS == 0:
+                rough_block = _unit(queries[i : i + QUERY_ROWS]) @ unit
+            rough = rough_block[i % QUERY_ROWS]
             at = np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-5)
         score = _cosine(queries[i], data[at])
         own = np.lexsort((ids[at], -score))[:k]
@@ -122,11 +116,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 8, probes: i
     place = F.dense_rank().over(W.partitionBy("v").orderBy("id"))
     classes = rows.select("id", "v").withColumn("r", place).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     classes = staged(classes.withColumn("cid", F.col("ids")[0]), "ann-classes")
-    n = classes.count()
-    # A bucket holds about BUCKET_ROWS vectors at most, whatever their number.
-    axes = 2 * Tables(dim, 1, 1).width
-    depth = max(1, ceil(log(max(2, n) / BUCKET_ROWS) / log(axes)))
-    hashing = Tables(dim, tables, depth)
+    hashing = Tables(dim, tables)
     queries = rows.where("q").select("id", "v").distinct()
     asked = classes.join(queries.select("v").distinct(), "v", "left_semi")
 
@@ -156,10 +146,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 8, probes: i
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            data, ids = _matrix(left["v"]), left["cid"].to_numpy()
+            data, ids, asking = _matrix(left["v"]), left["cid"].to_numpy(), right["cid"].to_numpy()
             for i, near, value in best_in_bucket(_matrix(right["v"]), data, ids, k + 1):
-                found.append(pd.DataFrame({"qcid": right["cid"].iat[i], "cid": near, "score": value}))
-        return pd.concat(found) if found else pd.DataFrame({"qcid": [], "cid": [], "score": []}).astype({"qcid": "int64", "cid": "int64"})
+                found.append((np.full(len(near), asking[i]), near, value))
+        qcid, cid, value = map(np.concatenate, zip(*found)) if found else ([], [], [])
+        return pd.DataFrame({"qcid": qcid, "cid": cid, "score": value}).astype({"qcid": "int64", "cid": "int64", "score": "float64"})
 
     def scored(left: DataFrame, right: DataFrame) -> DataFrame:
         left = left.join(large, ["t", "b"], "left").withColumn("p", F.col("s") % F.coalesce("parts", F.lit(1)))
@@ -177,7 +168,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 8, probes: i
     # Each class stands for up to k + 1 ids, so fewer than k + 1 other rows are possible only where few ids were met.
     met = found.join(classes.select("cid", F.size("ids").alias("n")), "cid").groupBy("qcid").agg(F.sum("n").alias("n"))
     short = asked.select("cid", "v").join(met.where(F.col("n") > k), F.col("cid") == F.col("qcid"), "left_anti")
-    spread = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(axes**depth - 1).cast("long"))).alias("b"), "cid", "v")
+    spread = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * hashing.width - 1).cast("long"))).alias("b"), "cid", "v")
     found = found.unionByName(best(scored(indexed.where("t = 0"), spread)))
     results = found.join(classes.select("cid", "ids"), "cid").select("qcid", F.explode("ids").alias("other"), "score")
     order = W.partitionBy("qcid").orderBy(F.desc("score"), "other")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bracken.llm import packing, secret_scan
+from bracken.llm import cross_polytope, packing, secret_scan
 from bracken.llm.cross_polytope import hadamard, nearest
 from bracken.llm.histogram_shards import histogram_shards
 from bracken.llm.language_id import is_held_out, label_languages, train, viterbi
@@ -239,6 +239,26 @@ def test_nearest(spark):
     assert nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_finds_as_many_in_large_tables(spark, monkeypatch):
+    """A table of many times BUCKET_ROWS, as one of millions of vectors is: no fewer neighbours than in a small one."""
+    monkeypatch.setattr(cross_polytope, "BUCKET_ROWS", 8)
+    x = np.random.default_rng(4).normal(size=(600, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = nearest(df, F.col("vec_id") % 10 == 0, k=5).collect()
+    norm = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {(r.query_id, r.vec_id) for r in out}
+    true = {(q, int(j)) for q in range(0, 600, 10) for j in np.argsort(-np.where(np.arange(600) == q, -2, norm @ norm[q]))[:5]}
+    assert len(out) == 300 and len(found & true) >= 0.9 * len(true)
+
+
+def test_best_in_bucket_by_blocks(monkeypatch):
+    r = np.random.default_rng(5)
+    q, x = r.normal(size=(11, 8)), r.normal(size=(90, 8))
+    whole = list(cross_polytope.best_in_bucket(q, x, np.arange(90), 4))
+    monkeypatch.setattr(cross_polytope, "QUERY_ROWS", 4)
+    assert all(a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(whole, cross_polytope.best_in_bucket(q, x, np.arange(90), 4), strict=True))
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 32))
     assert np.allclose((hadamard(x) ** 2).sum(axis=1), 32 * (x**2).sum(axis=1))
