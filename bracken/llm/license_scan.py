@@ -42,15 +42,37 @@ RULES = (
     ("CC-BY-4.0", ("cc_by_release",)),
     ("all-rights-reserved", ("all_rights",)),
 )
-#: Every sentence above holds one of these; other sentences aren't normalised.
+#: Every sentence above holds one of these; other texts aren't normalised.
 HINT = r"(?i)licen[cs]e|permi|copyright|warranty|redistribut|rights reserved|neither the name"
-SENTENCE_END = r"([.!?])[\x20\t]+"
+#: As HINT, with words that a line break may part.
+WRAPPED_HINT = HINT.replace(" ", "[^a-zA-Z0-9]+")
+
+
+def _anywhere() -> str:
+    """All sentences, each from a start to an end; words are apart by a space, or by `/` where a line wraps.
+
+    A holder's name may end with a full stop: "Neither the name of Foo Inc. nor the names of ...".
+    """
+    ways = []
+    for p in SENTENCES.values():
+        body = p.removeprefix("^").removesuffix("$").replace(" ", "[ /]").replace(".*", r"[^|]*(?:\|nor[ /][^|]*)*")
+        ways.append(body + "(?=[/|])" * p.endswith("$"))
+    return "[/|](?=(" + "|".join(ways) + "))"
 
 
 def _sentence_ids(text: Column) -> Column:
-    sentences = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
-    near = F.filter(sentences, lambda s: s.rlike(HINT))
-    plain = F.transform(near, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    """Known sentences by their places. They start and end at line breaks, semicolons, ends of addresses and of sentences.
+
+    Line breaks, semicolons and addresses may also stand inside one; blank lines, and `.`, `!` or `?` before a space, may not.
+    """
+    x = F.regexp_replace(F.lower(text), r"(https?://[^ \t\r\n]+)", "$1;")
+    x = F.translate(x, "|/", "  ")
+    x = F.regexp_replace(x, r"[.!?][ \t\r\n]", "|")
+    x = F.regexp_replace(x, r"\n[^a-z0-9\n|]*+\n", "|")
+    x = F.regexp_replace(F.concat(F.lit("|"), x, F.lit("|")), r"[;\n]", "/")
+    x = F.regexp_replace(x, "[^a-z0-9/|]+", " ")
+    x = F.regexp_replace(F.regexp_replace(x, " */[ /]*", "/"), r"[ /]?\|[ /|]*", "|")
+    plain = F.transform(F.regexp_extract_all(x, F.lit(_anywhere()), F.lit(1)), lambda s: F.translate(s, "/|", "  "))
 
     def name(s: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -58,7 +80,7 @@ def _sentence_ids(text: Column) -> Column:
             out = F.when(s.rlike(pattern), F.lit(key)).otherwise(out)
         return out
 
-    return F.filter(F.transform(plain, name), lambda x: x.isNotNull())
+    return F.transform(plain, name)
 
 
 def rule_pattern(sentences: tuple[str, ...]) -> str:
@@ -71,7 +93,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     licenses: the rules that match, in their order, each name once; license: the first. Null and empty texts, and
     those without a known sentence, have none. Only id and text are read.
     """
-    out = docs.select(F.col(id_col).alias("_id"), F.when(F.col(text_col).rlike(HINT), _sentence_ids(F.col(text_col))).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
+    out = docs.select(F.col(id_col).alias("_id"), F.when(F.col(text_col).rlike(WRAPPED_HINT), _sentence_ids(F.col(text_col))).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     out = out.withColumn("sentence_ids", F.coalesce("sentence_ids", F.array().cast("array<string>")))
     seq = F.concat_ws("", F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))))
     out = out.withColumn("_seq", seq)

@@ -414,5 +414,53 @@ def test_licenses(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+MIT = """Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+3. Neither the name of Foo Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+def test_wrapped_licenses(spark):
+    comment = "\r\n".join(f" * {x}" for x in APACHE.split("\n"))
+    texts = [MIT, BSD, GPL, APACHE, " ".join(APACHE.split()), comment, GPL.replace("software:", "software;"), "All rights\nreserved.", "Free under\n\nthe terms. All rights\n\nreserved"]
+    texts += ["x" + "\n;/|. " * 3000 + "licensed under\nthe MIT license"]
+    out = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0].sentence_ids == ["copyright", "mit_grant", "mit_notice", "as_is"] and out[0].licenses == ["MIT"]
+    assert out[1].sentence_ids == ["bsd_grant", "bsd_name"] and out[1].license == "BSD-3-Clause"
+    assert [out[k].sentence_ids for k in (2, 6)] == [["gpl_redistribute", "gpl_warranty"]] * 2 and out[2].licenses == ["GPL-3.0-or-later"]
+    assert [out[k].sentence_ids for k in (3, 4, 5)] == [["apache_release", "apache_comply", "apache_as_is"]] * 3 and out[4].licenses == ["Apache-2.0"]
+    assert out[7].license == "all-rights-reserved" and out[8].licenses == [] and out[9].licenses == ["MIT"]
+
+
 def test_digest_of_no_spans():
     assert secret_scan.sha256("") == hashlib.sha256(b"").hexdigest()
