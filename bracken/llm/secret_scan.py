@@ -23,8 +23,10 @@ ASSIGN = r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 BASE = ("assign", "access", "hex")
+#: A private key up to the next END; its headers and body may hold hyphens, but no other BEGIN.
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
 #: Kinds with an embedded check, added by the scan.
-CHECKED = {"github": r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", "npm": r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", "jwt": r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"}
+CHECKED = {"github": r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", "npm": r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", "jwt": r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", "pem": PEM}
 KINDS = (*BASE, *CHECKED)
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github", "npm_": "npm", "eyj": "jwt", "-----begin": "pem"}
 LEAST = {"assign": 12, "access": 18, "hex": 16}

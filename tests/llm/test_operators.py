@@ -403,6 +403,16 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_private_keys_with_hyphens():
+    rsa = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\nMIIEow+/=\n-----END RSA PRIVATE KEY-----"
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: a-b\n\nlQOY\n=x1\n-----END PGP PRIVATE KEY BLOCK-----"
+    plain = "-----BEGIN PRIVATE KEY-----\nMIIE\n-----END PRIVATE KEY-----"
+    text = f"a {rsa} b {pgp} -----BEGIN EC PRIVATE KEY----- left open {plain} c"
+    assert [text[a:b] for k, a, b in secret_scan.scan(text) if k == "pem"] == [rsa, pgp, plain]
+    wrong = [rsa.replace("END RSA", "END EC"), rsa.replace("END RSA PRIVATE", "END RSA PUBLIC"), "-----BEGIN PRIVATE KEY-----" * 20000]
+    assert not any(k == "pem" for t in wrong for k, _, _ in secret_scan.scan(t))
+
+
 def test_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."
     texts = [mit, "Words.\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0. All rights reserved.", "no such thing", None, "", "This license is mine.\n" * 3, "licensed under CC BY-NC 4.0!"]
