@@ -31,10 +31,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest doc_id; those without an id stay too."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named, unnamed = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    return named.join(kept, named["doc_id"] == kept["_kept"], "left_semi").unionByName(unnamed)
+    """One row of each group of near duplicates stays, that with the smallest doc_id, rows without an id last.
+
+    Where ids repeat or are missing, rows get keys of their own; of rows of equal ids that with the smallest hash stays.
+    Texts without a word are in no group and stay.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+        return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    keyed = staged(docs.withColumn("_key", F.monotonically_increasing_id()), "near-keyed")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(F.to_json(F.struct(*docs.columns))), "_key")
+    places = keyed.select("_key", place.alias("place"))
+    first = near_duplicates(keyed, id_col="_key").join(places, "_key").groupBy("component_id").agg(F.min("place")["_key"].alias("_key"))
+    return keyed.join(first, "_key", "left_semi").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

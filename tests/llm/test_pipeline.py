@@ -28,6 +28,15 @@ def test_stages(spark):
     assert packed.where("piece = 0").count() == mixed.count() and ends.where("a <> b or a > 4096").count() == 0
 
 
+def test_near_stage_with_repeated_and_missing_ids(spark):
+    one, two = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, one), (1, one), (1, two), (2, two), (3, one + " end"), (None, one), (None, "a b c d e f"), (None, "a b c d e f"), (4, two), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.near_stage(spark, docs, SF)
+    want = [(1, one), (1, two), (5, ""), (5, ""), (None, "a b c d e f")]
+    assert kept.columns == docs.columns and sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in kept.collect())
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "some text", None, None, 9), (2, "1 2", None, None, 3), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in pipeline.language_stage(spark, docs, SF).collect()] == [1]
