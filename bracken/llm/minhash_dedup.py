@@ -65,7 +65,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 @cache
 def least_matches(threshold: float, miss: float = MISS) -> tuple[int, ...]:
-    """After each batch: the fewest equal bytes with which P(similarity >= threshold) is still `miss` or more.
+    """After each batch: the fewest equal bytes with which P(similarity >= threshold) is still `miss` / batches or more.
+
+    So a pair of the threshold is given up with a probability of at most `miss` in all batches together.
 
     The prior is uniform. Bytes of different minima agree once in 256 times. With m of n equal, the posterior is a
     beta distribution, and its tail P(Binomial(n + 1, threshold) <= m).
@@ -76,7 +78,7 @@ def least_matches(threshold: float, miss: float = MISS) -> tuple[int, ...]:
         total, m = 0.0, 0
         while True:
             total += comb(n + 1, m) * p**m * (1 - p) ** (n + 1 - m)
-            if total >= miss:
+            if total >= miss / (BANDS * ROWS // BATCH):
                 break
             m += 1
         out.append(m)

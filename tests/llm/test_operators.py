@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from math import comb
 
 import numpy as np
 import pytest
@@ -213,6 +214,18 @@ def test_least_matches_keep_similar_pairs():
     assert (sums < np.array(least)).any(axis=1).mean() < 2e-3 and all(a <= b for a, b in zip(least, least[1:]))
 
 
+def test_least_matches_miss_as_stated():
+    """The exact probability that a pair of similarity 0.75 is given up after any of the batches."""
+    p = 0.75 + 0.25 / 256
+    step = np.array([comb(32, k) * p**k * (1 - p) ** (32 - k) for k in range(33)])
+    alive, lost = np.ones(1), 0.0
+    for least in least_matches(0.75):
+        alive = np.convolve(alive, step)
+        lost += alive[:least].sum()
+        alive[:least] = 0
+    assert 0 < lost <= 1e-5
+
+
 def test_nearest(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(400, 16))
