@@ -170,21 +170,20 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
     return states
 
 
-def train(docs: DataFrame, per_lang: int = 1500, max_langs: int = 64, penalty: float = 14.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learns from a bounded sample: per_lang labelled rows of each of the max_langs most frequent languages.
+def train(docs: DataFrame, per_lang: int = 1500, penalty: float = 14.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Learns from a bounded sample: per_lang labelled rows of each language that has any.
 
     The rows with the smallest hashes of their ids are taken, so reruns agree. Counts of n-grams are summed by slot
     in Spark; the driver gets at most languages x n-gram lengths x SLOTS numbers, a figure that doesn't grow with
     the corpus.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    top = [r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect()]
-    langs = sorted(top)
+    langs = sorted(r[0] for r in known.select(lang_col).distinct().collect())
     rank = F.row_number().over(W.partitionBy("lang").orderBy("hash", "id"))
-    ids = known.where(F.col(lang_col).isin(langs)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("hash"))
+    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("hash"))
     ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("id").distinct()
-    sample = known.where(F.col(lang_col).isin(langs)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = sample.join(F.broadcast(ids), "id", "left_semi")  # per_lang * max_langs ids at most
+    sample = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = sample.join(F.broadcast(ids), "id", "left_semi")  # per_lang ids of each language at most
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -437,6 +437,12 @@ def test_licenses(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+def test_every_labelled_language_is_learned(spark):
+    names = [f"l{k:02}" for k in range(66)]
+    rows = [(3 * k + j, " ".join(chr(97 + k % 26) * 2 + chr(97 + k // 26) for _ in range(9)), n) for k, n in enumerate(names) for j in range(1 if k == 65 else 2)]
+    assert train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == names
+
+
 MIT = """Copyright (c) 2020 A. Writer
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
