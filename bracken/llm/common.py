@@ -5,8 +5,13 @@ from __future__ import annotations
 import ctypes
 import gc
 import json
+import os
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +23,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """This application's folder below the one that all executors see: spark.checkpoint.dir.
+
+    Where that is unset, a local master has a temporary folder; a cluster must name one.
+    """
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return told or "/tmp/checkpoints/bracken"
+    if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        told = "file://" + os.path.join(tempfile.gettempdir(), "bracken")
+    return f"{told}/{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -31,6 +43,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes all that this application has staged; call it when the results that were made from it are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def inline_rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A small driver-side table of known size as a JVM-side literal."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")))
@@ -75,3 +93,26 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library
+
+
+def scan_groups(rows: DataFrame, keys: list[str], run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run(rows of a key, as a table) for each key. A partition is read in key order, so only one group and batch are held."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            own = np.stack([table.column(k).to_numpy() for k in keys])
+            edge = np.flatnonzero(np.r_[True, (own[:, 1:] != own[:, :-1]).any(axis=0)])
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                yield from run(table.slice(a, b - a))
+            rest = table.slice(int(edge[-1]))
+        if rest is not None and rest.num_rows:
+            yield from run(rest)
+        give_back()
+
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(scan, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches, staged
+from .common import give_back, scan_groups, small_batches, staged
 from .shingles import mix, shingle_set, word_hashes
 
 U = np.uint64
@@ -166,29 +166,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInPandas(compare, "x long, y long")
 
 
-def _scan_groups(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
-    """run(key, rows of the key as a table) for each key. A partition is read in key order, so only one group and batch are held."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-            if not table.num_rows:
-                continue
-            own = np.stack([table.column(k).to_numpy() for k in keys])
-            edge = np.flatnonzero(np.r_[True, (own[:, 1:] != own[:, :-1]).any(axis=0)])
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                yield from run(table.slice(a, b - a))
-            rest = table.slice(int(edge[-1]))
-        if rest is not None and rest.num_rows:
-            yield from run(rest)
-        give_back()
-
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(scan, schema)
-
-
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(node, label) for all nodes of the links (x, y): the smallest node reachable. labels: those known before.
 
@@ -256,7 +233,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, id
             blocks = own.withColumn("part", F.pmod(F.xxhash64("nid"), most)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
             blocks = blocks.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
         rows_of = blocks.join(sigs, "nid").select("key", "low", "high", "part", "band", "nid", "label", "sig")
-        found = _scan_groups(rows_of, ["key", "low", "high"], _comparer(few is None, threshold), "x long, y long, m long")
+        found = scan_groups(rows_of, ["key", "low", "high"], _comparer(few is None, threshold), "x long, y long, m long")
         if few:
             found = found.groupBy("x").agg(F.max_by("y", F.struct("m", -F.col("y"))).alias("y"))
         pairs = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()

@@ -267,9 +267,34 @@ def test_nearest_finds_as_many_in_large_tables(spark, monkeypatch):
 def test_best_in_bucket_by_blocks(monkeypatch):
     r = np.random.default_rng(5)
     q, x = r.normal(size=(11, 8)), r.normal(size=(90, 8))
-    whole = list(cross_polytope.best_in_bucket(q, x, np.arange(90), 4))
+    whole = [np.concatenate(c) for c in zip(*cross_polytope.best_in_bucket(q, x, np.arange(90), 4))]
     monkeypatch.setattr(cross_polytope, "QUERY_ROWS", 4)
-    assert all(a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(whole, cross_polytope.best_in_bucket(q, x, np.arange(90), 4), strict=True))
+    blocks = list(cross_polytope.best_in_bucket(q, x, np.arange(90), 4))
+    assert len(blocks) == 3 and all((a == b).all() for a, b in zip(whole, (np.concatenate(c) for c in zip(*blocks))))
+    sims = (x @ q.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(q, axis=1)).T
+    assert [r.tolist() for r in whole[1].reshape(11, 4)] == np.argsort(-sims, axis=1)[:, :4].tolist() and (whole[0] == np.repeat(np.arange(11), 4)).all()
+
+
+def test_nearest_in_a_tight_cluster_of_huge_and_tiny_numbers(spark, monkeypatch):
+    """Almost all rows and queries fall into the same buckets, which are dealt to many groups; lengths don't matter."""
+    monkeypatch.setattr(cross_polytope, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(cross_polytope, "BUCKET_QUERIES", 10)
+    r = np.random.default_rng(6)
+    x = 1 + 0.01 * r.normal(size=(300, 16))
+    sizes = 10.0 ** r.integers(-200, 200, 300)
+    df = spark.createDataFrame([(k, (v * s).tolist()) for k, (v, s) in enumerate(zip(x, sizes))], "vec_id long, embedding array<double>")
+    out = nearest(df, F.col("vec_id") % 3 == 0, k=3).collect()
+    norm = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = {(q, int(j)) for q in range(0, 300, 3) for j in np.argsort(-np.where(np.arange(300) == q, -2, norm @ norm[q]))[:3]}
+    assert len(out) == 300 and len({(r.query_id, r.vec_id) for r in out} & true) >= 0.98 * len(true)
+    assert all(abs(r.score - norm[r.query_id] @ norm[r.vec_id]) < 1e-12 for r in out)
+
+
+def test_nearest_of_repeated_rows(spark):
+    rows = [(k % 4, [1.0, float(k % 4)]) for k in range(40)] + [(7, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = [(r.query_id, r.rank, r.vec_id) for r in nearest(df, F.col("vec_id") == 1, k=9).orderBy("rank").collect()]
+    assert out == [(1, 1, 7), (1, 2, 2), (1, 3, 3), (1, 4, 0)]
 
 
 def test_hadamard_keeps_lengths():
