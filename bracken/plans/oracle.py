@@ -189,6 +189,56 @@ PARTS |= {
 }
 
 
+def lines(x: str) -> str:
+    """Lines without white space at both ends, empty ones dropped."""
+    return rf"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))"
+
+
+def estimate(x: str) -> str:
+    return f"greatest(1, ceil(length({x}) / 4))::integer"
+
+
+def excerpt_key(x: str) -> str:
+    kept = rf"regexp_replace(regexp_replace({x}, '\s', ' ', 'g'), '[^A-Za-z0-9 ]', '', 'g')"
+    return f"substr({squeeze(asc(kept))}, 1, 220)"
+
+
+def literal(kind: str = "edge_type", reason: str = "reason") -> str:
+    return f"case {kind} when 'shared_anchor' then substr({reason}, 8) when 'shared_entity' then substr({reason}, instr({reason}, ':') + 1) when 'manifest_overlap' then substr({reason}, 10) end"
+
+
+#: Tokens of the packs that are held against SQL.
+PACK_BUDGET = 1500
+_UPTO = r"regexp_extract(substr(t, 1, most), '(?s)^(.*[.\n;])', 1)"
+_TRIMMED = rf"case when length(t) <= most then t else regexp_replace(case when {_UPTO} <> '' and strlen({_UPTO}) >= most // 2 then {_UPTO} else substr(t, 1, most) end, '\s+$', '') || '...' end"
+_SAID = "l.edge_type || ' ' || coalesce(l.reason, '') || ' ' || l.filename || ' ' || coalesce(l.lit, '')"
+PARTS |= {
+    "offers": (("ranked",), f"select query_id, row_number() over (partition by query_id order by low, rank) as n, chunk_id, doc_id, low = 1 as low, {lines('content')} as t from ranked where rank <= 10"),
+    "item_walk": (
+        ("offers", "queries"),
+        f"select query_id, 0::bigint as n, {estimate('text')} + 24 as used, 0 as lost, 0 as good, 0 as held, []::varchar[] as met, ''::varchar as chunk_id, ''::varchar as doc_id, 0 as tokens, ''::varchar as excerpt, 'start' as verdict from queries "
+        "union all select query_id, n, used + case when verdict = 'buy' then tokens + 18 else 0 end, lost + (verdict in ('none', 'dear'))::integer, good + (verdict = 'buy' and not low)::integer, held + (verdict = 'buy')::integer, case when key <> '' and verdict in ('dear', 'buy') then list_append(met, key) else met end, chunk_id, doc_id, tokens, excerpt, verdict "
+        f"from (select *, case when (low and good >= 3) or (held > 0 and rest = 0) then 'none' when key <> '' and list_contains(met, key) then 'same' when held > 0 and used + tokens + 18 > {PACK_BUDGET} then 'dear' else 'buy' end as verdict "
+        f"from (select *, {excerpt_key('excerpt')} as key, {estimate('excerpt')} as tokens from (select *, {_TRIMMED} as excerpt from (select *, 4 * greatest(rest, 8) as most "
+        f"from (select w.query_id, c.n, w.used, w.lost, w.good, w.held, w.met, c.chunk_id, c.doc_id, c.low, c.t, greatest(0, {PACK_BUDGET} - w.used - 18) as rest from item_walk w join offers c on c.query_id = w.query_id and c.n = w.n + 1)))))",
+    ),
+    "pack_items": (("item_walk",), "select * from item_walk where verdict = 'buy'"),
+    "pack_ends": (("item_walk",), "select query_id, arg_max(used, n) as used, arg_max(lost, n) as lost, arg_max(held, n) as held from item_walk group by query_id"),
+    "pack_links": (
+        ("both_ways", "chunks", "docs", "pack_items"),
+        f"select i.query_id, row_number() over (partition by i.query_id order by i.n, l.rank) as m, i.n as place, l.node, l.other, l.edge_type, l.weight, l.chunk_signal = 'content' and l.doc_class <> 'reference' as plain, {estimate(_SAID)} + 14 as tokens, least(l.node, l.other) || chr(10) || greatest(l.node, l.other) as pair from pack_items i join "
+        f"(select b.*, c.chunk_signal, d.filename, d.doc_class, {literal()} as lit, row_number() over (partition by node order by weight desc, other) as rank from both_ways b join chunks c on c.chunk_id = b.other join docs d on d.doc_id = c.doc_id where node in (select chunk_id from pack_items)) l on l.node = i.chunk_id where l.rank <= 25",
+    ),
+    "link_walk": (
+        ("pack_links", "pack_ends"),
+        "select query_id, 0::bigint as m, used, 0 as spent, 0 as lost, 0 as bought, 0::bigint as place, true as is_open, greatest(3, 3 * held) as most, []::varchar[] as met, ''::varchar as node, ''::varchar as other, ''::varchar as edge_type, 0.0::double as weight, 0 as tokens, 'start' as verdict from pack_ends "
+        "union all select query_id, m, used + case when verdict = 'buy' then tokens else 0 end, spent + case when verdict = 'buy' then tokens else 0 end, lost + (verdict in ('bad', 'dear'))::integer, bought + (verdict = 'buy')::integer, place, is_open, most, case when verdict in ('dear', 'buy') then list_append(met, pair) else met end, node, other, edge_type, weight, tokens, verdict "
+        f"from (select *, case when not is_open then 'shut' when not plain then 'bad' when list_contains(met, pair) then 'met' when spent + tokens > {PACK_BUDGET} // 5 or used + tokens > {PACK_BUDGET} or bought >= most then 'dear' else 'buy' end as verdict "
+        "from (select l.query_id, l.m, w.used, w.spent, w.lost, w.bought, l.place, case when l.place = w.place then w.is_open else w.bought < w.most end as is_open, w.most, w.met, l.node, l.other, l.edge_type, l.weight, l.tokens, l.plain, l.pair from link_walk w join pack_links l on l.query_id = w.query_id and l.m = w.m + 1))",
+    ),
+}
+
+
 def sql(select: str, *parts: str) -> str:
     """The select, below the parts it names and those that these need."""
     order: list[str] = []

@@ -827,7 +827,7 @@ def _(spark, d):
 
 # Graph and packs ---------------------------------------------------------------------------------------------------
 
-_LIT = "case edge_type when 'shared_anchor' then substr(reason, 8) when 'shared_entity' then substr(reason, instr(reason, ':') + 1) when 'manifest_overlap' then substr(reason, 10) end"
+_LIT = O.literal()
 
 
 def _snip(text: str) -> str:
@@ -883,25 +883,25 @@ def _(spark, d):
 
 def _packs(spark, d):
     c, q, _ = _pool(spark, d)
-    return context_packs(q, staged(_ranked(spark, d), "results"), c.edges, c.chunks, c.documents, 1500)
+    return context_packs(q, staged(_ranked(spark, d), "results"), c.edges, c.chunks, c.documents, O.PACK_BUDGET)
 
 
-@query("pck_01_context_pack")
+@query("pck_01_context_pack", "select e.query_id, r.used, e.lost as omitted_items, r.lost as omitted_relations, e.held as n_items, r.bought as n_relations from pack_ends e join (select query_id, arg_max(used, m) as used, arg_max(lost, m) as lost, arg_max(bought, m) as bought from link_walk group by query_id) r on r.query_id = e.query_id", "pack_ends", "link_walk")
 def _(spark, d):
     return _packs(spark, d).select("query_id", "used", "omitted_items", "omitted_relations", F.size("items").alias("n_items"), F.size("relations").alias("n_relations"))
 
 
-@query("pck_02_items")
+@query("pck_02_items", "select query_id, chunk_id, doc_id, tokens, excerpt from pack_items", "pack_items")
 def _(spark, d):
     return _packs(spark, d).select("query_id", F.explode("items").alias("i")).select("query_id", "i.*")
 
 
-@query("pck_03_relations")
+@query("pck_03_relations", "select query_id, node as source, other as target, edge_type, weight, tokens from link_walk where verdict = 'buy'", "link_walk")
 def _(spark, d):
     return _packs(spark, d).select("query_id", F.explode("relations").alias("r")).select("query_id", "r.*")
 
 
-@query("pck_04_sources")
+@query("pck_04_sources", "select query_id, doc_id, count(*)::integer as item_count from pack_items group by all", "pack_items")
 def _(spark, d):
     return _packs(spark, d).select("query_id", F.explode("sources").alias("s")).select("query_id", "s.*")
 

@@ -13,7 +13,6 @@ from bracken.operators import edges as E
 from bracken.operators import evaluate as V
 from bracken.operators import search as S
 from bracken.operators.chunking import cut
-from bracken.operators.pack import excerpt_key, pack_one, trim
 from bracken.sources import parse as P
 
 
@@ -155,17 +154,3 @@ def test_office_files():
     assert P.xlsx_pages(xlsx) == [(None, "[S]\nhi\t\t5")]
     assert P.pdf_pages(b"%PDF\nstream\nBT (Hello \\(x\\)) Tj ET\nendstream") == [(1, "Hello (x)")]
     assert P.media_pages("a.png", "image", "seen")[0] == (1, "Image OCR text for a.png:\nseen") and P.media_pages("a.mp3", "audio", None) == [(None, "")]
-
-
-def result(k, content, signal="content"):
-    return {"chunk_id": f"c{k}", "doc_id": f"d{k % 2}", "filename": "f", "chunk_signal": signal, "content": content}
-
-
-def test_pack():
-    p = pack_one("q", [result(1, "Same text."), result(2, "Same  text.")], {})
-    assert len(p["items"]) == 1 and p["omitted_items"] == 0
-    n = lambda c, s, k: {"chunk_id": c, "chunk_signal": s, "doc_class": k, "edge_type": "shared_anchor", "reason": "anchor:A-B-C", "filename": "x.md", "anchor": "A-B-C", "weight": 0.9}
-    p = pack_one("q", [result(1, "Text one.")], {"c1": [n("n1", "content", "content"), n("n2", "anchor_list", "content"), n("n3", "content", "reference")]})
-    assert [r["target"] for r in p["relations"]] == ["n1"] and p["omitted_relations"] == 2
-    assert pack_one("q", [], {})["warnings"] and len(pack_one("q", [result(1, "y " * 4000)], {}, budget=20)["items"]) == 1
-    assert trim("a b. " * 50, 10).endswith("...") and excerpt_key("Aé B\n c!") == "a b c"
