@@ -150,7 +150,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 8, p
             own = np.stack([hashing.buckets(unit, t) for t in range(tables)], axis=1)
             asks = batch.column("q").to_numpy(zero_copy_only=False).astype(bool)
             near = np.stack([hashing.probes(unit[asks], t, probes) for t in range(tables)], axis=1)
-            told = iter(near.reshape(len(near), -1))
+            told = iter(near.reshape(len(near), tables * near.shape[2]))
             columns = [pa.array(list(own), pa.list_(pa.int64())), pa.array([next(told) if a else None for a in asks], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("cid", "ids", "q", "v")] + columns, names=["cid", "ids", "q", "v", "own", "near"])
         give_back()
