@@ -11,7 +11,7 @@ from .common import read
 from .cross_polytope import nearest
 from .histogram_shards import histogram_shards
 from .language_id import is_held_out, label_languages, train
-from .license_scan import HINT, RULES, SENTENCES, rule_pattern, scan_licenses
+from .license_scan import HINT, RULES, SENTENCES, rule_pattern, rule_rest, scan_licenses
 from .line_runs import dedup_lines
 from .minhash_dedup import near_duplicates
 from .packing import pack, token_pieces, tokenizer_path
@@ -112,15 +112,15 @@ from b"""
 
 def _license_sql() -> str:
     case = " ".join(f"when regexp_matches(s, '{p}') then '{k}'" for k, p in SENTENCES.items())
-    rules = ", ".join(f"case when regexp_matches(seq, '{rule_pattern(s)}') then {k} end" for k, (_, s) in enumerate(RULES, 1))
-    names = ", ".join(f"'{n}'" for n, _ in RULES)
+    rules = ", ".join(f"{{'seq': '', 'names': '', 'name': '{n}', 'pat': '{rule_pattern(s)}', 'rest': '{rule_rest(s, chr(92))}'}}" for n, s in RULES)
+    step = "lambda a, r: {'seq': regexp_replace(a.seq, r.pat, r.rest, 'g'), 'names': a.names || case when regexp_matches(a.seq, r.pat) then ',' || r.name else '' end, 'name': '', 'pat': '', 'rest': ''}"
     return rf"""
 with s as (select doc_id, unnest(string_split(regexp_replace(text, '([.!?])[\x20\t]+', '\1' || chr(10), 'g'), chr(10))) as x, generate_subscripts(string_split(regexp_replace(text, '([.!?])[\x20\t]+', '\1' || chr(10), 'g'), chr(10)), 1) as i from documents),
 n as (select doc_id, i, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) as s from s where regexp_matches(x, '{HINT}')),
 k as (select doc_id, i, case {case} end as k from n),
 q as (select doc_id, string_agg(k, ',' order by i) as ids, string_agg('<' || k || '>', '' order by i) as seq from k where k is not null group by doc_id),
-r as (select doc_id, ids, list_filter([{rules}], lambda x: x is not null) as hit from q),
-d as (select doc_id, ids, list_transform(hit, lambda x: [{names}][x]) as all_names from r),
+r as (select doc_id, ids, list_reduce([{{'seq': seq, 'names': '', 'name': '', 'pat': '', 'rest': ''}}] || [{rules}], {step}) as hit from q),
+d as (select doc_id, ids, list_filter(string_split(hit.names, ','), lambda x: x <> '') as all_names from r),
 u as (select doc_id, ids, list_filter(all_names, lambda x, i: list_position(all_names, x) = i) as own from d)
 select t.doc_id, coalesce(u.ids, '') as sentence_ids, coalesce(array_to_string(u.own, ','), '') as licenses, u.own[1] as license
 from documents t left join u on t.doc_id = u.doc_id"""

@@ -290,6 +290,12 @@ def test_nearest_in_a_tight_cluster_of_huge_and_tiny_numbers(spark, monkeypatch)
     assert all(abs(r.score - norm[r.query_id] @ norm[r.vec_id]) < 1e-12 for r in out)
 
 
+def test_nearest_where_no_query_is_among_many_rows(spark):
+    """Batches without a query, and a table without one."""
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.col("id") + 1.0, F.sin("id"), F.cos("id")).alias("embedding")).repartition(20, "vec_id")
+    assert nearest(df, F.col("vec_id") == 7, k=2).count() == 2 and nearest(df, F.lit(False)).count() == 0
+
+
 def test_nearest_of_repeated_rows(spark):
     rows = [(k % 4, [1.0, float(k % 4)]) for k in range(40)] + [(7, [2.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -511,10 +517,50 @@ def test_wrapped_licenses(spark):
     out = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert out[0].sentence_ids == ["copyright", "mit_grant", "mit_notice", "as_is"] and out[0].licenses == ["MIT"]
     assert out[1].sentence_ids == ["bsd_grant", "bsd_name"] and out[1].license == "BSD-3-Clause"
-    assert [out[k].sentence_ids for k in (2, 6)] == [["gpl_redistribute", "gpl_warranty"]] * 2 and out[2].licenses == ["GPL-3.0-or-later"]
+    assert [out[k].sentence_ids for k in (2, 6)] == [["gpl_3_0_later", "gpl_warranty"]] * 2 and out[2].licenses == ["GPL-3.0-or-later"]
     assert [out[k].sentence_ids for k in (3, 4, 5)] == [["apache_release", "apache_comply", "apache_as_is"]] * 3 and out[4].licenses == ["Apache-2.0"]
     assert out[7].license == "all-rights-reserved" and out[8].licenses == [] and out[9].licenses == ["MIT"]
 
 
+BSD2 = BSD.split("\n\n")[0]
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+LESSER = GPL.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+AFFERO = GPL.replace("GNU General", "GNU Affero General")
+ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; version 2 of the License."""
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (BSD2, ["BSD-2-Clause"]), (BSD, ["BSD-3-Clause"]), (BSD2 + "\n\n" + BSD, ["BSD-3-Clause", "BSD-2-Clause"]),
+        (BSD2 + "\n3. All advertising materials mentioning features or use of this\nsoftware must display it.\n" + BSD.split("\n\n")[1], ["BSD-4-Clause"]),
+        (GPL, ["GPL-3.0-or-later"]), (GPL.replace("version 3", "version 2"), ["GPL-2.0-or-later"]), (ONLY, ["GPL-2.0-only"]), (GPL.replace(", either version 3 of the License, or\n(at your option) any later version", ""), ["GPL-1.0-or-later"]),
+        (LESSER, ["LGPL-2.1-or-later"]), (AFFERO, ["AGPL-3.0-or-later"]), (LESSER.replace("2.1", "3"), ["LGPL-3.0-or-later"]),
+        ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n", ["GPL-2.0-only"]), ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-only"]),
+        (ISC, ["ISC"]), (ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", ""), ["0BSD"]),
+        (MPL, ["MPL-2.0"]), (" # ".join(MPL.split("\n")), ["MPL-2.0"]),
+        (MIT.replace("The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.", ""), ["MIT-0"]),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", ["CC-BY-SA-3.0"]), ("Licensed under CC BY-NC-ND 4.0", ["CC-BY-NC-ND-4.0"]),
+        ("// SPDX-License-Identifier: LGPL-2.1-or-later\nint x;", ["LGPL-2.1-or-later"]), ("/* SPDX-License-Identifier: MIT */", ["MIT"]), ("# SPDX-License-Identifier: MIT-0", ["MIT-0"]),
+        (MIT + "\n\n" + APACHE + "\n\n" + MIT, ["MIT", "Apache-2.0"]),
+    ],
+)
+def test_known_licenses(spark, text, found):
+    rows = [(1, text), (1, text), (None, text), (2, "words\nof a long file\n" * 20000 + "\n" + text)]
+    out = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 4 and all(r.licenses == found and r.license == found[0] for r in out)
+
+
 def test_digest_of_no_spans():
     assert secret_scan.sha256("") == hashlib.sha256(b"").hexdigest()
