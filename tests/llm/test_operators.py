@@ -457,6 +457,46 @@ def test_private_keys_with_hyphens():
     assert not any(k == "pem" for t in wrong for k, _, _ in secret_scan.scan(t))
 
 
+def test_web_tokens_of_long_runs_and_deep_headers():
+    import base64
+    import time
+
+    began = time.time()
+    assert secret_scan.scan("eyJ" * 3_500_000) == [] and secret_scan.scan("eyJ" * 1_000_000 + ".eyJ." * 300_000) == []
+    assert time.time() - began < 10
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode().rstrip("=")
+    assert not secret_scan.valid("jwt", f"{deep}.e30.x") and secret_scan.scan(f"{deep}.e30.x") == []
+    good = "eyJhbGciOiJIUzI1NiJ9.e30.x"
+    assert [s for s in secret_scan.scan(f"eyJ.{good} x{good}") if s[0] == "jwt"] == [("jwt", 4, 30)]
+
+
+def test_checksums_of_keys():
+    """Published test vectors: the first extended key of BIP-32, and a secret key of the bech32 forms."""
+    xprv = "xprv9s21ZrQH143K3QTDL4LXw2F7HEK3wJUD2nW2nRk4stbPy6cq3jPPqjiChkVvvNKmPGJxWUtg6LnF5kejMRNNU3TGtRBeJgk33yuGBxrMPHi"
+    nsec = "nsec1vl029mgpspedva04g90vltkh6fvh240zqtv9k0t9af8935ke9laqsnlfe5"
+    for key, kind in ((xprv, "xprv"), (nsec, "nsec")):
+        assert [s for s in secret_scan.scan(f"k {key} e") if s[0] == kind] == [(kind, 2, 2 + len(key))]
+        wrong = key[:20] + ("q" if key[20] != "q" else "p") + key[21:]
+        assert not [s for s in secret_scan.scan(f"k {wrong} e") if s[0] == kind]
+    body = "q" * 52
+    prefix = "age-secret-key-"
+    codes = [ord(c) >> 5 for c in prefix] + [0] + [ord(c) & 31 for c in prefix] + [0] * 52
+    tails = 1
+    for v in codes + [0] * 6:
+        top, tails = tails >> 25, (tails & 0x1FFFFFF) << 5 ^ v
+        for k, step in enumerate(secret_scan.BECH32_STEPS):
+            tails ^= step if top >> k & 1 else 0
+    end = "".join(secret_scan.BECH32[(tails ^ 1) >> 5 * (5 - k) & 31] for k in range(6))
+    assert [s[0] for s in secret_scan.scan(f"{prefix}1{body}{end}".upper())] == ["age"]
+
+
+def test_secrets_of_repeated_and_missing_ids(spark):
+    text = "password=abcdefghijkl " + "deadbeef" * 3
+    rows = [(1, text), (1, text), (None, text), (None, None)]
+    out = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), len(r.spans)) for r in out) == [("1", 2), ("1", 2), ("None", 0), ("None", 2)]
+
+
 def test_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."
     texts = [mit, "Words.\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0. All rights reserved.", "no such thing", None, "", "This license is mine.\n" * 3, "licensed under CC BY-NC 4.0!"]
