@@ -14,10 +14,9 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches
+from .common import give_back, small_batches, staged
 
 #: First and last code point of the scripts that are told apart; any other letter is "other".
 SCRIPTS = {
@@ -37,8 +36,8 @@ SCRIPTS = {
 GRAMS, SLOTS = (2, 3, 4), 1 << 17
 #: A word's log-probabilities outside its script's languages.
 OFF_SCRIPT = -30.0
-#: Code points that are scored at once: bounds a worker's memory.
-CHUNK = 400_000
+#: Code points times languages that are scored at once: bounds a worker's memory.
+CELLS = 1_600_000
 
 
 @cache
@@ -56,11 +55,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letter, lower, script
 
 
-def _chunks(texts: list[str]) -> Iterator[list[int]]:
-    """Numbers of consecutive texts, together of about CHUNK code points; a longer text stands alone."""
+def _chunks(texts: list[str], room: int) -> Iterator[list[int]]:
+    """Numbers of consecutive texts, together of at most `room` code points; a longer text stands alone."""
     own, size = [], 0
     for i, x in enumerate(texts):
-        if own and size + len(x) > CHUNK:
+        if own and size + len(x) > room:
             yield own
             own, size = [], 0
         own.append(i)
@@ -69,6 +68,17 @@ def _chunks(texts: list[str]) -> Iterator[list[int]]:
         yield own
 
 
+def _slots(c: np.ndarray) -> Iterator[np.ndarray]:
+    """For each n the slot of the n-gram that ends at each code point."""
+    for n in GRAMS:
+        h = np.full(len(c), n, np.uint64)
+        for k in range(n):
+            before = np.r_[np.full(min(k, len(c)), 32, np.uint64), c[: max(0, len(c) - k)]] if k else c
+            h = (h ^ before) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        yield (h % np.uint64(SLOTS)).astype(np.int32)
+
+
 class Words:
     """Letter runs of some texts: text number, start and end within it, script, and the slots of their n-grams."""
 
@@ -86,15 +96,7 @@ class Words:
         self.a, self.b, self.codes = a, b, c
 
     def slots(self) -> Iterator[np.ndarray]:
-        """For each n the slot of the n-gram that ends at each code point."""
-        c = self.codes
-        for n in GRAMS:
-            h = np.full(len(c), n, np.uint64)
-            for k in range(n):
-                before = np.r_[np.full(min(k, len(c)), 32, np.uint64), c[: max(0, len(c) - k)]] if k else c
-                h = (h ^ before) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            yield (h % np.uint64(SLOTS)).astype(np.int32)
+        return _slots(self.codes)
 
     def scores(self, model: np.ndarray) -> np.ndarray:
         """(words, languages): sums over the n-grams that end in the word or at the character after it."""
@@ -111,27 +113,99 @@ class LanguageModel:
     def __init__(self, langs: list[str], logp: np.ndarray, script_ok: np.ndarray, penalty: float):
         self.langs, self.logp, self.script_ok, self.penalty = langs, logp, script_ok, penalty
 
+    def _narrowed(self, scores: np.ndarray, script: np.ndarray) -> np.ndarray:
+        """Scores of words, those of languages that don't use the word's script far down; where none does, all stay."""
+        ok = self.script_ok[script]
+        return np.where(ok | ~ok.any(axis=1, keepdims=True), scores, scores + OFF_SCRIPT)
+
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
         """For each text its spans: language, start, end (code points), share of its letters."""
         out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
-        for own in _chunks(texts):
-            w = Words([texts[i] for i in own])
-            if not len(w.text):
+        room = max(64, CELLS // max(1, len(self.langs)))
+        for own in _chunks(texts, room):
+            if len(own) == 1 and len(texts[own[0]]) > room:
+                states, start, end = self._slice_by_slice(texts[own[0]], room)
+                text = np.zeros(len(states), np.int64)
+            else:
+                w = Words([texts[i] for i in own])
+                text, start, end = w.text, w.start, w.end
+                states = viterbi(self._narrowed(w.scores(self.logp), w.script), text, self.penalty) if len(text) else np.empty(0, np.int16)
+            if not len(states):
                 continue
-            scores = w.scores(self.logp)
-            ok = self.script_ok[w.script]
-            scores = np.where(ok | ~ok.any(axis=1, keepdims=True), scores, scores + OFF_SCRIPT)
-            states = viterbi(scores, w.text, self.penalty)
-            new = np.r_[True, (states[1:] != states[:-1]) | (w.text[1:] != w.text[:-1])]
+            new = np.r_[True, (states[1:] != states[:-1]) | (text[1:] != text[:-1])]
             first = np.flatnonzero(new)
             last = np.r_[first[1:], len(states)] - 1
-            letters = np.add.reduceat(w.end - w.start, first)
-            every = np.bincount(w.text, weights=w.end - w.start, minlength=len(own))
+            letters = np.add.reduceat(end - start, first)
+            every = np.bincount(text, weights=end - start, minlength=len(own))
             for f, e, n in zip(first.tolist(), last.tolist(), letters.tolist()):
-                t = w.text[f]
-                out[own[t]].append((self.langs[states[f]], int(w.start[f]), int(w.end[e]), n / every[t]))
+                out[own[text[f]]].append((self.langs[states[f]], int(start[f]), int(end[e]), n / every[text[f]]))
         return out
 
+    def _slice_by_slice(self, text: str, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """States, starts and ends of the words of a long text; only a slice of it is scored at a time.
+
+        What is kept of a slice are its words' places and a byte or two for each word and language. A word over a cut
+        carries its sum along; the code points before the slice complete its first n-grams.
+        """
+        letter, lower, scripts = _tables()
+        k = len(self.langs)
+        before, best, carry, open_at = np.full(max(GRAMS) - 1, 32, np.uint64), None, np.zeros(k), -1
+        starts, ends, came = [], [], []
+        for low in range(0, len(text) + 1, room):
+            part = text[low : low + room] + "\n" * (low + room > len(text))
+            code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+            is_letter = letter[code]
+            c = np.r_[before, np.where(is_letter, lower[code], 32).astype(np.uint64)]
+            total = np.zeros((len(code) + 1, k))
+            for n, s in enumerate(_slots(c)):
+                total[1:] += self.logp[n][s[len(before) :]]
+            np.cumsum(total, axis=0, out=total)
+            previous = np.r_[open_at >= 0, is_letter[:-1]]
+            a, b = np.flatnonzero(is_letter & ~previous), np.flatnonzero(~is_letter & previous)
+            begun = np.r_[np.zeros(int(open_at >= 0), np.int64), a]
+            places = np.r_[np.full(int(open_at >= 0), open_at), low + a]
+            done = len(b)
+            scores = total[b + 1] - total[begun[:done]]
+            kind = scripts[code[begun[:done]]]
+            if done and open_at >= 0:
+                scores[0] += carry
+                kind[0] = scripts[ord(text[open_at])]
+            if done:
+                came.append(np.empty((done, k), np.int8 if k < 127 else np.int16))
+                best = _advance(self._narrowed(scores, kind), best, self.penalty, came[-1])
+                starts.append(places[:done])
+                ends.append(low + b)
+            if len(places) > done:
+                carry = total[-1] - total[begun[done]] + (carry if open_at >= 0 and not done else 0)
+                open_at = int(places[done])
+            else:
+                open_at = -1
+            before = c[-len(before) :]
+        if best is None:
+            return (np.empty(0, np.int64),) * 3
+        back = np.concatenate(came)
+        states = np.empty(len(back), np.int16)
+        now = int(best.argmax())
+        for t in range(len(back) - 1, -1, -1):
+            states[t] = now
+            now = int(back[t, now])
+        return states, np.concatenate(starts), np.concatenate(ends)
+
+
+def _advance(scores: np.ndarray, best: np.ndarray | None, penalty: float, came: np.ndarray) -> np.ndarray:
+    """Viterbi over one document's next words, from the values `best` of the states before them; fills `came`."""
+    stay_at = np.arange(scores.shape[1])
+    for t, own in enumerate(scores):
+        if best is None:
+            came[t], best = stay_at, own
+            continue
+        top = int(best.argmax())
+        jump = best[top] - penalty
+        stay = best >= jump
+        came[t] = np.where(stay, stay_at, top)
+        best = np.where(stay, best, jump) + own
+    return best
+
 
 def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
     """The best state of each word; `doc` is sorted. All documents advance by a word together, the longest first.
@@ -171,25 +245,32 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def train(docs: DataFrame, per_lang: int = 1500, penalty: float = 14.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learns from a bounded sample: per_lang labelled rows of each language that has any.
+    """Learns from a bounded sample: of each language that has labelled rows, per_lang of its different (id, text) at most.
 
-    The rows with the smallest hashes of their ids are taken, so reruns agree. Counts of n-grams are summed by slot
-    in Spark; the driver gets at most languages x n-gram lengths x SLOTS numbers, a figure that doesn't grow with
-    the corpus.
+    Those with the smallest hashes are taken, so reruns agree. How many there are is estimated first, and only rows
+    with hashes below about what is needed go further: no task gets more than a few thousand rows of a language,
+    however many it has. Rows that repeat count once; null labels and null texts teach nothing. N-grams are counted,
+    summed and made a model in Spark; the driver gets the model, languages x n-gram lengths x SLOTS numbers, whose size
+    does not grow with the corpus.
     """
+    spark = docs.sparkSession
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = sorted(r[0] for r in known.select(lang_col).distinct().collect())
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash", "id"))
-    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("hash"))
-    ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("id").distinct()
-    sample = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = sample.join(F.broadcast(ids), "id", "left_semi")  # per_lang ids of each language at most
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), 1)
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), hashed.alias("h"))
+    enough = F.least(F.lit(1.0), (1.25 * per_lang + 64) / F.approx_count_distinct("h", 0.03))
+    below = staged(known.groupBy("lang").agg(enough.alias("part")), "language-sizes")  # a row a language; Spark sees its size
+    near = known.join(below, "lang").where(F.col("h") <= F.col("part") * float(2**63))
+    near = staged(near.groupBy("lang", "h").agg(F.first("text").alias("text")), "language-sample")
+    last = near.groupBy("lang").agg(F.element_at(F.slice(F.sort_array(F.collect_list("h")), 1, per_lang), -1).alias("last"))
+    sample = near.join(last, "lang").where(F.col("h") <= F.col("last"))
+    room = CELLS // 4
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, own in pdf.groupby("lang"):
-                texts = own["text"].tolist()
-                for part in _chunks(texts):
+                # Long texts are cut: what is lost are the few n-grams over the cuts.
+                texts = [x[a : a + room] for x in own["text"] for a in range(0, len(x), room)]
+                for part in _chunks(texts, room):
                     w = Words([texts[i] for i in part])
                     yield pd.DataFrame({"lang": lang, "kind": -1, "slot": w.script.astype(np.int64), "n": w.end - w.start}).groupby(["lang", "kind", "slot"], as_index=False)["n"].sum()
                     inside = np.zeros(len(w.codes) + 1, bool)
@@ -200,20 +281,29 @@ def train(docs: DataFrame, per_lang: int = 1500, penalty: float = 14.0, id_col:
                         yield pd.DataFrame({"lang": lang, "kind": k, "slot": slot.astype(np.int64), "n": n})
         give_back()
 
-    small_batches(docs.sparkSession)
-    counts = sample.select("lang", "text").mapInPandas(count, "lang string, kind int, slot long, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()
-    logp = np.zeros((len(GRAMS), SLOTS, max(1, len(langs))), np.float32)
-    script_ok = np.zeros((len(SCRIPTS) + 1, max(1, len(langs))), bool)
-    for k, lang in enumerate(langs):
-        own = found[found["lang"] == lang]
+    def finish(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        """Of one language: the scripts with a hundredth of its letters, and the logarithms of its n-grams' shares."""
         letters = own[own["kind"] == -1]
-        script_ok[letters["slot"][letters["n"] >= 0.01 * letters["n"].sum()], k] = True
+        scripts = np.zeros(len(SCRIPTS) + 1, bool)
+        scripts[letters["slot"][letters["n"] >= 0.01 * letters["n"].sum()]] = True
+        logp = np.zeros((len(GRAMS), SLOTS), np.float32)
         for n in range(len(GRAMS)):
             x = np.full(SLOTS, 0.1)
             g = own[own["kind"] == n]
             x[g["slot"]] += g["n"]
-            logp[n, :, k] = np.log(x / x.sum()) / len(GRAMS)
+            logp[n] = np.log(x / x.sum()) / len(GRAMS)
+        return pd.DataFrame({"lang": [key[0]], "scripts": [scripts.tobytes()], "logp": [logp.tobytes()]})
+
+    small_batches(spark)
+    counts = sample.select("lang", "text").mapInPandas(count, "lang string, kind int, slot long, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
+    models = {r.lang: r for r in counts.groupBy("lang").applyInPandas(finish, "lang string, scripts binary, logp binary").toLocalIterator()}
+    langs = sorted(r.lang for r in below.select("lang").collect())
+    script_ok = np.zeros((len(SCRIPTS) + 1, max(1, len(langs))), bool)
+    logp = np.full((len(GRAMS), SLOTS, max(1, len(langs))), np.float32(np.log(1 / SLOTS) / len(GRAMS)))
+    for k, lang in enumerate(langs):
+        if lang in models:  # else its texts have no letter
+            script_ok[:, k] = np.frombuffer(models[lang].scripts, bool)
+            logp[:, :, k] = np.frombuffer(models[lang].logp, np.float32).reshape(len(GRAMS), SLOTS)
     return LanguageModel(langs, logp, script_ok, penalty)
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bracken.llm import cross_polytope, packing, secret_scan
+from bracken.llm import cross_polytope, language_id, packing, secret_scan
 from bracken.llm.cross_polytope import hadamard, nearest
 from bracken.llm.histogram_shards import histogram_shards
 from bracken.llm.language_id import is_held_out, label_languages, train, viterbi
@@ -346,6 +346,32 @@ def test_languages(spark):
     assert label_languages(df.limit(0), model).count() == 0
 
 
+def test_long_texts_are_labelled_slice_by_slice(spark, monkeypatch):
+    r = random.Random(8)
+    vocab = {"en": "the of and house water night stone with from that".split(), "de": "der die und haus wasser nacht stein mit von dass".split()}
+    rows = [(k, " ".join(r.choice(vocab[lang]) for _ in range(30)), lang) for k, lang in enumerate(["en", "de"] * 40)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), penalty=3.0)
+    texts = ["", "1 2", "house" * 200, "x" * 333 + " the house", " " * 500 + "der"]
+    texts += [r.choice(["", " ", "1"]).join(r.choice(vocab[r.choice(["en", "de"])]) + r.choice([" ", "", "-", "  \n"]) for _ in range(300)) for _ in range(20)]
+    whole = model.spans(texts)
+    for cells in (128, 160, 1000):
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        found = model.spans(texts)
+        assert [[s[:3] for s in x] for x in found] == [[s[:3] for s in x] for x in whole] and all(abs(a[3] - b[3]) < 1e-9 for x, y in zip(found, whole) for a, b in zip(x, y))
+    assert sum(len(x) > 3 for x in whole) > 10
+
+
+def test_training_takes_a_bounded_sample(spark, monkeypatch):
+    """However often rows repeat: per_lang different ones of a language at most, and of every language some."""
+    rows = [(1, "same text here", "en")] * 3000 + [(k, f"text {'abcdefgh'[k % 8] * 3} {k}", "en") for k in range(2, 2500)] + [(1, "anderer satz", "de")] * 500 + [(None, "phrase", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = []
+    monkeypatch.setattr(language_id, "staged", lambda x, label: taken.append((label, x.cache())) or taken[-1][1])
+    assert train(df, per_lang=100).langs == ["de", "en", "fr"]
+    near = dict(taken)["language-sample"]
+    assert {r.lang: r["count"] for r in near.groupBy("lang").count().collect()} | {"en": 0} == {"de": 1, "fr": 1, "en": 0} and 100 <= near.where("lang = 'en'").count() < 320
+
+
 def brute_tokens(texts, capacity):
     from tokenizers import Tokenizer
 
