@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bracken.llm import cross_polytope, language_id, packing, secret_scan
+from bracken.llm import cross_polytope, language_id, line_runs, packing, secret_scan
+from bracken.llm.common import settings
 from bracken.llm.cross_polytope import hadamard, nearest
 from bracken.llm.histogram_shards import histogram_shards
 from bracken.llm.language_id import is_held_out, label_languages, train, viterbi
@@ -133,6 +134,31 @@ def test_line_runs_batches(spark):
     assert sum(map(len, runs.levels)) == 1
 
 
+def test_line_runs_are_merged_without_exchange_or_sort(spark):
+    """Runs are read sorted: the plans of a merge, and of a batch's anti-join, neither exchange nor sort them."""
+    runs = LineRuns(spark, min_docs=2)
+    a, b = (runs.write(spark.range(n).repartition(3).selectExpr("id as h1", "id * 7 as h2").groupBy("h1", "h2").agg(F.count("*").alias("n"))) for n in (300, 500))
+
+    def plan(df):
+        with settings(spark, **line_runs.SORTED, spark__sql__adaptive__enabled="false"):
+            return df._jdf.queryExecution().executedPlan().toString()
+
+    both = line_runs.merged([a, b])
+    assert "SortMergeJoin" in plan(both) and "Exchange" not in plan(both) and "Sort [" not in plan(both)
+    assert {(r.h1, r.n) for r in both.collect()} == {(k, 2 if k < 300 else 1) for k in range(500)}
+    runs.levels = [[both_run := runs.write(both)]]
+    batch = spark.range(400).repartition(3).selectExpr("id as h1", "id * 7 as h2").groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    own = plan(runs.fresh(batch))
+    assert own.count("SortMergeJoin") == 1 and own.count("Exchange hashpartitioning") == 1 and own.count("Sort [") == 1 and both_run.count() == 500
+    assert {r.h1 for r in runs.fresh(batch).collect()} == set(range(300, 400))
+
+
+def test_dedup_lines_of_repeated_rows(spark):
+    rows = [(1, "A line\nown 1")] * 5 + [(None, "a line \nown 2")] * 5 + [(2, "own 1\nown 2")]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()
+    assert sorted(r.kept_text for r in out) == ["own 1"] * 5 + ["own 1\nown 2"] + ["own 2"] * 5 and all(r.n_lines == 2 for r in out)
+
+
 def brute_targets(tokens, weights, share, most):
     names = sorted((s for s in tokens if s is not None)) + ([None] if None in tokens else [])
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
