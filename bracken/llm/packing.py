@@ -27,6 +27,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words whose ids a worker keeps.
 CACHED = 200_000
+#: Pieces of a length that one task ranks.
+RANK_ROWS = 100_000
 
 
 #: Texts of these characters only are cut here: ASCII without the separators 28 to 31, and letters that no normal form changes.
@@ -233,26 +235,36 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[dict]:
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, buckets: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset.
 
-    Ranks within a length are made from the counts of (length, bucket) and ranks inside these, so that a length with
-    a third of all rows is dealt to many tasks. An empty table gives no rows.
+    A piece of full length is a sequence by itself and needs no rank. The others are ranked within their length: those
+    of a length are dealt by hash to as many buckets as give each about RANK_ROWS, and a rank is the count of the
+    buckets before plus the rank inside, so that a length with a third of all rows fills many tasks. Rows without an
+    id, and rows that repeat, are pieces like others; of equal rows any may take the earlier place. An empty table
+    gives no rows.
     """
-    pieces = staged(pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))), "pieces")
-    spark = pieces.sparkSession
-    per = pieces.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
+    pieces = staged(pieces, "pieces")
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    bins = plan_bins({x: n for x, n in counts.items() if x < capacity}, capacity)
+    columns = pieces.columns
+    # Numbers of full sequences go on behind the others; they have gaps between partitions.
+    behind = max((r["bin"] + r["high"] - r["low"] for r in bins), default=0)
+    full = pieces.where(F.col("length") == capacity).select(*columns, (behind + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if not bins:
+        return full
+    buckets = F.element_at(F.split(F.lit(",".join(str(-(-counts.get(x, 0) // RANK_ROWS) or 1) for x in range(capacity))), ",").cast("array<int>"), (F.col("length") + 1).cast("int"))
+    short = pieces.where(F.col("length") < capacity).withColumn("_bucket", F.pmod(F.xxhash64(*columns), buckets))
+    per = short.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     base = per.select("length", "_bucket", (F.sum("n").over(W.partitionBy("length").orderBy("_bucket")) - F.col("n")).alias("_base"))
-    counts = {r.length: r.n for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    plan = inline_rows(spark, plan_bins(counts, capacity), "l bigint, low bigint, high bigint, bin bigint, at bigint")
     rank = F.row_number().over(W.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    ranked = pieces.withColumn("_rank", rank).join(base, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_base", "_bucket")
+    ranked = short.withColumn("_rank", rank).join(base, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     # A length's runs stand in one array, so that a row meets only those of its own length; the last that begins at or before its rank holds it.
+    plan = inline_rows(pieces.sparkSession, bins, "l bigint, low bigint, high bigint, bin bigint, at bigint")
     runs = plan.groupBy("l").agg(F.sort_array(F.collect_list(F.struct("low", "bin", "at"))).alias("_runs"))
-    out = ranked.join(F.broadcast(runs), F.col("length") == F.col("l"))  # a few runs for each of at most `capacity` lengths
-    own = F.element_at(F.filter("_runs", lambda r: r["low"] <= F.col("_rank")), -1)
-    out = out.withColumn("_run", own)
-    return out.select(*[c for c in pieces.columns if c != "_bucket"], (F.col("_run.bin") + F.col("_rank") - F.col("_run.low")).alias("sequence_id"), F.col("_run.at").alias("offset"))
+    out = ranked.join(F.broadcast(runs), F.col("length") == F.col("l"))  # a few runs for each of fewer than `capacity` lengths
+    out = out.withColumn("_run", F.element_at(F.filter("_runs", lambda r: r["low"] <= F.col("_rank")), -1))
+    return full.unionByName(out.select(*columns, (F.col("_run.bin") + F.col("_rank") - F.col("_run.low")).alias("sequence_id"), F.col("_run.at").alias("offset")))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
