@@ -13,9 +13,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SEEDS = 16
 
 
-def _uniform(id_col: str, seed: Column) -> Column:
-    """A number in [0, 1) from the id and a seed: the same in every run."""
-    return F.pmod(F.xxhash64(F.lit("mix"), seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
+def _uniform(seed: Column) -> Column:
+    """A number in [0, 1) from a row's key and a seed: the same in every run."""
+    return F.pmod(F.xxhash64(F.lit("mix"), seed, F.col("_key")), F.lit(1 << 30)) / float(1 << 30)
 
 
 def source_targets(per_source: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -42,11 +42,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """Each row with size, source_size, target and `copies`: how often the mix takes it.
 
     A null text has no words and a null source is a source of its own, the last one. A source without words has the
-    target 0. Rows with the same id and source are drawn alike. keep: with all columns of docs (under a struct
-    `row`), else with its id only.
+    target 0. The draw of a row depends on its id and text, so rows without an id are drawn one by one, and only rows
+    that repeat both are drawn alike. An empty table gives no rows. keep: with all columns of docs (under a struct
+    `row`, so that none can clash), else with its id only.
+
+    A row gets floor(rate) copies and one more if a hash of its key and the source's seed falls below the fraction:
+    with that probability, for any seed. The seed is the one of SEEDS whose draws come nearest to the source's target;
+    which it is depends on the hashes of all rows together, and hardly on a single one's.
     """
     def sized(*more: Column) -> DataFrame:
-        return docs.select(*more, F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+        return docs.select(*more, F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("_key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
 
     base = staged(sized(), "mix")  # the words are counted once
     per_source = base.groupBy("source").agg(F.sum("size").alias("tokens"))
@@ -58,14 +63,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         t = t.withColumnRenamed("source", "_source")
         return df.join(t, df["source"].eqNullSafe(t["_source"])).drop("_source")
 
-    drawn = with_targets(base.select("_id", "source", "size"), targets.select("source", "part"))
-    tries = [F.sum(F.when(_uniform("_id", F.lit(k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"try{k}") for k in range(SEEDS)]
+    drawn = with_targets(base.select("_key", "source", "size"), targets.select("source", "part"))
+    tries = [F.sum(F.when(_uniform(F.lit(k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"try{k}") for k in range(SEEDS)]
     tries = drawn.groupBy("source").agg(*tries).withColumnRenamed("source", "_source")
     chosen = targets.join(tries, targets["source"].eqNullSafe(tries["_source"])).drop("_source")
     miss = F.array_min(F.array(*[F.struct(F.abs(F.col(f"try{k}") - F.col("part") * F.col("tokens")), F.lit(k).alias("seed")) for k in range(SEEDS)]))
     chosen = chosen.select("source", "tokens", "target", "whole", "part", miss["seed"].alias("seed"))
     out = with_targets(sized(F.struct("*").alias("row")) if keep else base, chosen)
-    copies = F.col("whole") + F.when(_uniform("_id", F.col("seed")) < F.col("part"), 1).otherwise(0)
+    copies = F.col("whole") + F.when(_uniform(F.col("seed")) < F.col("part"), 1).otherwise(0)
     return out.select("row" if keep else F.col("_id").alias(id_col), "size", F.col("tokens").alias("source_size"), "target", copies.cast("long").alias("copies"))
 
 
