@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,11 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """numerator / denominator must lie in [least, most]; a zero denominator, and fewer than `from_words` words, pass."""
+    """numerator / denominator must lie in [least, most]; a zero denominator, and fewer than `from_words` words, pass.
+
+    latin: for texts in Latin letters only, for which word lengths and stop words are known. Others have half a byte
+    or more for each character of a word beyond the first byte of it.
+    """
 
     name: str
     numerator: str
@@ -30,13 +33,14 @@ class Rule:
     least: float = 0.0
     most: float = float("inf")
     from_words: int = 0
+    latin: bool = False
 
 
 #: The thresholds. The base limits of the contract stand in base_failed.
 RULES = (
-    Rule("word_length", "word_chars", "n_words", 2.0, 14.0),
+    Rule("word_length", "word_chars", "n_words", 2.0, 14.0, latin=True),
     Rule("symbols", "n_symbols", "n_words", most=0.10),
-    Rule("stop_words", "n_stop_words", "n_words", least=0.02, from_words=40),
+    Rule("stop_words", "n_stop_words", "n_words", least=0.02, from_words=40, latin=True),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.40),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", most=0.30, from_words=40),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", most=0.90, from_words=40),
@@ -66,8 +70,9 @@ def repeated_words(words: Column, n: Column, width: int = 5) -> Column:
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, further counts, failed, base_failed, kept).
 
-    failed: names of the rules that reject the text. A null or empty text has no words and fails the base rule. Only
-    the id and the text are read; every row gets a row.
+    failed: names of the rules that reject the text. A null or empty text has no words and fails the base rule. A
+    ratio that equals a threshold passes. Only the id and the text are read, so columns named like results don't
+    matter; every row gets a row, also rows that repeat and rows without an id.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     stops = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
@@ -81,6 +86,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
         "_id",
         F.col("n_words").cast("long").alias("n_words"),
         F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w)).cast("long").alias("word_chars"),
+        (F.octet_length("_text") - F.length("_text")).cast("long").alias("n_more_bytes"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated_words(words, F.col("n_words")).cast("long").alias("n_repeat_words"),
@@ -96,6 +102,8 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
         bad = (top < r.least * bottom) if r.least > 0 else F.lit(False)
         if r.most < float("inf"):
             bad = bad | (top > r.most * bottom)
+        if r.latin:
+            bad = bad & (2 * F.col("n_more_bytes") < F.col("word_chars"))
         return F.when(bad & (bottom > 0) & (F.col("n_words") >= r.from_words), F.lit(r.name))
 
     failed = F.filter(F.array(*[broken(r) for r in rules]), lambda x: x.isNotNull()) if rules else F.array().cast("array<string>")

@@ -84,7 +84,7 @@ def _quality_sql() -> str:
     rules = []
     for r in QUALITY:
         bad = [f"{r.numerator} < {r.least!r} * {r.denominator}"] * (r.least > 0) + [f"{r.numerator} > {r.most!r} * {r.denominator}"] * (r.most < float("inf"))
-        rules.append(f"({' or '.join(bad)}) and {r.denominator} > 0 and n_words >= {r.from_words}")
+        rules.append(f"({' or '.join(bad)}) and {r.denominator} > 0 and n_words >= {r.from_words}" + " and 2 * n_more_bytes < word_chars" * r.latin)
     stops = ", ".join(f"'{w}'" for w in dict.fromkeys([*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]))
     trimmed = r"regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
     return rf"""
@@ -98,7 +98,7 @@ g as (
 c as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i+1, i+2, i+3, i+4]) as p from g where n > 1) group by doc_id),
 m as (
   select a.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
-    cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
+    strlen(t) - length(t) as n_more_bytes, cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
     cast(len(ln) - len(list_distinct(ln)) as bigint) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
     len(list_filter(w, lambda x: x in ({stops}))) as n_stop_words, len(ln) as n_lines,
     len(list_filter(ln, lambda x: regexp_matches({trimmed}, '(\.\.\.|…)$'))) as n_ellipsis_lines,
