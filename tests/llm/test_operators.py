@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bracken.llm import cross_polytope, language_id, line_runs, packing, secret_scan
+from bracken.llm import histogram_shards as histogram_shards_module
 from bracken.llm.common import settings
 from bracken.llm.cross_polytope import hadamard, nearest
 from bracken.llm.histogram_shards import histogram_shards
@@ -77,6 +78,34 @@ def test_histogram_shards(spark, docs):
     assert histogram_shards(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("bins", [1 << 16, 8])
+def test_splitters_against_a_sort(spark, monkeypatch, bins):
+    """Each boundary has as many bytes below it as its share says, within the tolerance or one key's bytes; few bins take more rounds."""
+    monkeypatch.setattr(histogram_shards_module, "ROUND_BINS", bins)
+    r = random.Random(7)
+    keys = [(r.getrandbits(64) - 2**63, r.getrandbits(64) - 2**63, r.randint(8, 400)) for _ in range(900)] + [(5, r.getrandbits(64) - 2**63, 20) for _ in range(500)] + [(9, 9, 30)] * 200 + [(2**63 - 1, 2**63 - 1, 8), (-(2**63), -(2**63), 8)]
+    r.shuffle(keys)
+    shards, parts, tolerance = 6, 3, 0.001
+    found = histogram_shards_module.find_splitters(spark.createDataFrame(keys, "h long, d long, size long"), shards, parts, tolerance)
+    total = sum(s for _, _, s in keys)
+    one = Counter()
+    for h, d, s in keys:
+        one[h, d] += s
+    assert len(found) == shards * parts - 1 and found == sorted(found)
+    for k, edge in enumerate(found, 1):
+        below = sum(s for h, d, s in keys if (h, d) < edge)
+        slack = tolerance * total / shards if k % parts == 0 else 0.5 * total / (shards * parts)
+        over = [x for x in sorted(one) if x >= edge][:1] + [x for x in sorted(one) if x < edge][-1:]
+        assert abs(below - total * k / (shards * parts)) <= max(slack, max(one[x] for x in over)) + 1e-9
+
+
+def test_histogram_shards_of_repeated_rows(spark):
+    rows = [(k % 3 if k % 4 else None, "é" * (k % 5) if k % 5 else None) for k in range(200)]
+    out = histogram_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
+    assert sorted(str((r.doc_id, r.size)) for r in out) == sorted(str((k, 8 + len((t or "").encode()))) for k, t in rows)
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out))) for s in range(4))
+
+
 def test_histogram_shards_cut_a_hot_text(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1200, "same text").otherwise(F.col("id").cast("string")).alias("text"))
     by = histogram_shards(df, shards=24).groupBy("shard").agg(F.sum("size").alias("b")).collect()
@@ -159,6 +188,23 @@ def test_dedup_lines_of_repeated_rows(spark):
     assert sorted(r.kept_text for r in out) == ["own 1"] * 5 + ["own 1\nown 2"] + ["own 2"] * 5 and all(r.n_lines == 2 for r in out)
 
 
+def test_quality_of_other_scripts(spark):
+    """Stop words and word lengths are known of Latin letters; other prose isn't rejected for them, Latin prose is."""
+    words = [f"{a}{b}" for a in ("вода", "камень", "дом", "ночь", "ветер", "лес", "река", "поле") for b in ("", "а", "ы", "ом", "ами", "ах")]
+    han = ["山水田园风光无限好日月星辰" + chr(0x4E00 + k) for k in range(40)]
+    latin = [f"zq{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(48)]
+    rows = [(1, " ".join(words)), (2, " ".join(han)), (3, " ".join(latin)), (4, " ".join(x + "é" for x in latin)), (5, None), (None, " ".join(words)), (1, " ".join(words))]
+    out = [(r.doc_id, r.kept, r.failed) for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, out)) == sorted(map(str, [(1, True, []), (2, True, []), (3, False, ["stop_words"]), (4, False, ["stop_words"]), (5, False, []), (None, True, []), (1, True, [])]))
+
+
+def test_mix_sources_without_ids(spark):
+    """Rows without an id are drawn one by one, and rows that repeat an id with another text too."""
+    rows = [(None if k % 2 else 7, f"t{k} word", "a") for k in range(4000)] + [(k, f"u{k} word", "b") for k in range(3000)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source_size").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.countDistinct("copies").alias("n")).collect()
+    assert len(out) == 2 and all(abs(r.taken - r.target) <= 0.005 * r.target for r in out) and max(r.n for r in out) == 2
+
+
 def brute_targets(tokens, weights, share, most):
     names = sorted((s for s in tokens if s is not None)) + ([None] if None in tokens else [])
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
@@ -436,6 +482,25 @@ def test_packing(spark, docs):
     assert packing.pack(packing.token_pieces(empty(spark), packing.tokenizer_path())).count() == 0
 
 
+def test_packing_of_full_repeated_and_nameless_pieces(spark, monkeypatch):
+    """A length of most rows is ranked in many buckets; full pieces aren't ranked; no row is lost or placed twice."""
+    monkeypatch.setattr(packing, "RANK_ROWS", 7)
+    lengths = [16] * 40 + [5] * 90 + [5] * 10 + [11] * 33 + [3, 2, 1, 16]
+    rows = [(None if k % 9 == 0 else 1 if 130 <= k < 140 else k, 0, 0, n, 5) for k, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(df, 16).collect()
+    assert sorted(str(tuple(r)[:5]) for r in out) == sorted(map(str, rows))
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 16
+    assert len(bins) == len(packing.pack(df, 16).select("sequence_id").distinct().collect()) <= 41 + 33 + -(-(100 - 33) // 3) + 1
+    only_full = packing.pack(df.where("length = 16"), 16)
+    assert only_full.count() == only_full.select("sequence_id").distinct().count() == 41
+
+
 def best_bins(items, capacity):
     """The fewest bins, by trying everything."""
     items = sorted(items, reverse=True)
