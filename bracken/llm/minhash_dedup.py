@@ -107,28 +107,31 @@ def _signed_rows(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, cid, sig, bands) of each row; cid tells equal sets, and like sig and bands is null for empty ones."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, th, n, cid, sig, bands) of each row; th: the text's hash; cid tells equal sets, and like sig and bands is null for empty ones."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("cid", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, s in _signed_rows(batch, width):
+            for th, (key, s) in zip(batch.column("th").to_pylist(), _signed_rows(batch, width)):
                 if len(s):
                     sig = signature(s)
-                    out.append((key, len(s), hashlib.blake2b(s, digest_size=16).digest(), sig.astype(np.uint8).tobytes(), band_keys(sig)))
+                    out.append((key, th, len(s), hashlib.blake2b(s, digest_size=16).digest(), sig.astype(np.uint8).tobytes(), band_keys(sig)))
                 else:
-                    out.append((key, 0, None, None, None))
+                    out.append((key, th, 0, None, None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         give_back()
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "doc_id long, n long, cid binary, sig binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(sign, "doc_id long, th long, n long, cid binary, sig binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(nid, shingles) of the nodes (nid, cid, doc_id), made again from the texts."""
+    """(nid, shingles) of the nodes (nid, cid, doc_id, th), made again from the texts.
+
+    They are found by id and text, so that texts without an id, or with one that repeats, don't all meet.
+    """
     schema = pa.schema([("cid", pa.binary()), ("shingles", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +141,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*own)], schema=schema)
         give_back()
 
-    wanted = nodes.select(F.col("doc_id").alias("_want")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    wanted = nodes.select(F.col("doc_id").alias("_want"), F.col("th").alias("_th")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     # By merge at every size: how many are wanted grows with the corpus.
-    made = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("_want")), "left_semi").mapInArrow(make, "cid binary, shingles binary")
+    made = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("_want")) & (F.col("th") == F.col("_th")), "left_semi").mapInArrow(make, "cid binary, shingles binary")
     found = nodes.select("nid", "cid").join(made, "cid")
     return found.groupBy("nid").agg(F.first("shingles").alias("shingles"))
 
@@ -197,13 +200,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, id
     Rows are linked when the Jaccard similarity of their sets of `width`-word shingles (A-Z lower-cased, words between
     ASCII white space) is at least the threshold; a text of fewer words has one shingle, all of it. Null texts and
     those without words have none and are linked with nothing. component_id is the smallest doc_id of a row's
-    component; rows without a doc_id don't name one. kept: doc_id = component_id; rows that repeat an id are kept
-    together. Only id and text are read.
+    component; rows without a doc_id don't name one, and are never kept: a component of such rows alone has none. kept:
+    doc_id = component_id; rows that repeat an id are kept together. Only id and text are read, so columns named like
+    results don't matter. An empty table gives no rows.
     """
     rows = staged(signatures(docs, width, id_col, text_col), "signatures")
-    one = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    signed = staged(one.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    nodes = signed.select("nid", "cid", "doc_id")
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("place")
+    one = rows.where("cid is not null").groupBy("cid").agg(place, F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    signed = staged(one.select("cid", "place.doc_id", "place.th", "sig", "bands").withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    nodes = signed.select("nid", "cid", "doc_id", "th")
     bands = signed.select("nid", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high"), F.count("*").alias("n")).where("low < high")
     members = staged(bands.join(shared.select("key", "n"), "key"), "members")

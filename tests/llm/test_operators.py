@@ -273,6 +273,14 @@ def test_near_duplicates(spark, docs):
     assert near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(None, texts[0]), (None, texts[0] + " end"), (None, texts[1]), (5, texts[2]), (5, texts[1]), (5, texts[1] + " end"), (3, texts[0] + " end of it"), (None, None), (None, ""), (3, texts[0] + " end of it")]
+    out = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(None, 36, 3, False), (None, 37, 3, False), (None, 36, 5, False), (5, 36, 5, True), (5, 36, 5, True), (5, 37, 5, True), (3, 39, 3, True), (3, 39, 3, True), (None, 0, None, False), (None, 0, None, False)]
+    assert sorted(map(str, out)) == sorted(map(str, want))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "x long, y long")
     assert {(r.node, r.label) for r in components(links).collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}
