@@ -6,8 +6,10 @@ miss probability. Survivors are verified on their full shingle sets.
 
 No bucket is expanded into its pairs. The components are what is wanted, so first each node has only its best
 partner in another component verified, within a few of its buckets; what links is contracted. After some such
-rounds, all buckets that still hold several components are searched in full: there every surviving pair of nodes of
-different components is verified. So no link that the bands and the posterior bound let through can be missed.
+rounds, all buckets that still hold several components are searched in full: there a first scan marks the nodes that
+have a surviving partner in another component, and a second one, to which only these bring their full sets, verifies
+every surviving pair whose components nothing has linked yet. It gives one link for each two components that it joins.
+So no link that the bands and the posterior bound let through can be missed, and pairs that are none leave no row.
 """
 
 from __future__ import annotations
@@ -237,12 +239,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, id
             most = F.ceil(F.col("n") / BLOCK)
             blocks = own.withColumn("part", F.pmod(F.xxhash64("nid"), most)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
             blocks = blocks.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-        rows_of = blocks.join(sigs, "nid").select("key", "low", "high", "part", "band", "nid", "label", "sig")
-        found = scan_groups(rows_of, ["key", "low", "high"], _comparer(few is None, threshold), "x long, y long, m long")
+        groups = ["key", "low", "high"]
+        rows_of = blocks.join(sigs, "nid").select(*groups, "part", "band", "nid", "label", "sig")
         if few:
+            found = scan_groups(rows_of, groups, _best_partner(threshold), "x long, y long, m long")
             found = found.groupBy("x").agg(F.max_by("y", F.struct("m", -F.col("y"))).alias("y"))
-        pairs = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        new = staged(_verified(pairs, sets, threshold), "links")
+            pairs = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+            new = staged(_verified(pairs, sets, threshold), "links")
+        else:
+            marked = staged(scan_groups(rows_of, groups, _marker(threshold), "key long, low long, high long, part long, band int, nid long, label long"), "marked")
+            told = marked.join(sigs, "nid").join(sets, "nid").select(*groups, "part", "band", "nid", "label", "sig", "shingles")
+            new = staged(scan_groups(told, groups, _linker(threshold), "x long, y long").distinct(), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links, labels)
     comp = nodes.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
@@ -253,43 +260,95 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, id
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _comparer(every: bool, threshold: float):
-    """Compares a bucket's nodes of different components: each node's best survivor, or every pair in the first band that it shares."""
+class _Group:
+    """The nodes of a bucket, or of a pair of its blocks."""
+
+    def __init__(self, group: pa.Table):
+        self.ids, self.label, self.part = (group.column(c).to_numpy() for c in ("nid", "label", "part"))
+        self.band = group.column("band")[0].as_py()
+        self.split = group.column("low")[0].as_py() != group.column("high")[0].as_py()
+        self.apart = bool((self.label != self.label[0]).any())
+        if self.apart:
+            both = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+            self.sig = np.ascontiguousarray(both[:, : BANDS * ROWS])
+            self.tags = np.ascontiguousarray(both[:, BANDS * ROWS :]).view(np.uint16)
+
+    def partners(self, i: int, other: np.ndarray, threshold: float) -> np.ndarray:
+        """Later nodes among `other` that survive with node i, and share no earlier band with it. Pairs inside a block belong to the block's own group."""
+        other[: i + 1] = False
+        if self.split:
+            other &= self.part != self.part[i]
+        at = np.flatnonzero(other)
+        if not len(at):
+            return at
+        own = at[survivors(self.sig[i], self.sig[at], threshold)[0]]
+        same = (self.sig[own].reshape(-1, BANDS, ROWS) == self.sig[i].reshape(BANDS, ROWS)).all(axis=2) & (self.tags[own] == self.tags[i])
+        return own[same.argmax(axis=1) == self.band] if len(own) else own
+
+
+def _best_partner(threshold: float):
+    """(x, y, m): for each node the survivor of another component that agrees most."""
     schema = pa.schema([(c, pa.int64()) for c in "xym"])
-    width = BANDS * ROWS
 
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, label, part = (group.column(c).to_numpy() for c in ("nid", "label", "part"))
-        if (label == label[0]).all():
+        g, rows = _Group(group), []
+        for i in range(len(g.ids)) if g.apart else ():
+            at = np.flatnonzero(g.label != g.label[i])
+            own, equal = survivors(g.sig[i], g.sig[at], threshold)
+            if len(own):
+                best = np.lexsort((g.ids[at[own]], -equal))[0]
+                rows.append((g.ids[i], g.ids[at[own[best]]], equal[best]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c), pa.int64()) for c in zip(*rows)], schema=schema)
+
+    return run
+
+
+def _marker(threshold: float):
+    """The group's nodes that have a surviving partner in another component; at most the rows that came."""
+
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        g = _Group(group)
+        if not g.apart:
+            return
+        mark = np.zeros(len(g.ids), bool)
+        for i in range(len(g.ids)):
+            own = g.partners(i, g.label != g.label[i], threshold)
+            mark[own] = True
+            mark[i] |= len(own) > 0
+        if mark.any():
+            yield from group.drop_columns(["sig"]).filter(pa.array(mark)).combine_chunks().to_batches()
+
+    return run
+
+
+def _linker(threshold: float):
+    """(x, y): a verified link for each two components that the group joins, on full sets; components that it has joined are one."""
+    percent = round(100 * threshold)
+
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        g = _Group(group)
+        if not g.apart:
             return
-        both = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        sig, tags = np.ascontiguousarray(both[:, :width]), np.ascontiguousarray(both[:, width:]).view(np.uint16)
-        band, split = group.column("band")[0].as_py(), group.column("low")[0].as_py() != group.column("high")[0].as_py()
-        x, y, m = [], [], []
-        for i in range(len(ids)):
-            other = label != label[i]
-            if every:
-                other[: i + 1] = False
-                if split:  # pairs inside a block belong to the block's own group
-                    other &= part != part[i]
-            at = np.flatnonzero(other)
-            if not len(at):
-                continue
-            own, equal = survivors(sig[i], sig[at], threshold)
-            own = at[own]
-            if not len(own):
-                continue
-            if every:
-                same = (sig[own].reshape(-1, BANDS, ROWS) == sig[i].reshape(BANDS, ROWS)).all(axis=2) & (tags[own] == tags[i])
-                first = same.argmax(axis=1) == band
-                own, equal = own[first], equal[first]
-            else:
-                best = np.lexsort((ids[own], -equal))[:1]
-                own, equal = own[best], equal[best]
-            x.append(np.full(len(own), ids[i]))
-            y.append(ids[own])
-            m.append(equal)
-        if x:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (x, y, m)], schema=schema)
+        sets, label, rows = [np.frombuffer(x, U) for x in group.column("shingles").to_pylist()], g.label.copy(), []
+        for i in range(len(g.ids)):
+            own = g.partners(i, label != label[i], threshold)
+            for at in range(0, len(own), 64):
+                # Some at a time: the first link of a component spares its others.
+                some = own[at : at + 64]
+                some = some[label[some] != label[i]]
+                if not len(some):
+                    continue
+                sizes = np.array([len(sets[j]) for j in some])
+                every = np.concatenate([sets[j] for j in some])
+                mine = np.sort(sets[i])
+                hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+                shared = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+                for j in some[100 * shared >= percent * (sizes + len(mine) - shared)]:
+                    if label[j] != label[i]:
+                        rows.append((g.ids[i], g.ids[j]))
+                        label[label == label[j]] = label[i]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c), pa.int64()) for c in zip(*rows)], names=["x", "y"])
 
     return run

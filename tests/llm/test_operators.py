@@ -8,11 +8,13 @@ from collections import Counter
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from bracken.llm import cross_polytope, language_id, line_runs, packing, secret_scan
 from bracken.llm import histogram_shards as histogram_shards_module
+from bracken.llm import minhash_dedup as minhash
 from bracken.llm.common import settings
 from bracken.llm.cross_polytope import hadamard, nearest
 from bracken.llm.histogram_shards import histogram_shards
@@ -281,6 +283,39 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     assert sorted(map(str, out)) == sorted(map(str, want))
 
 
+def test_last_round_links_what_brute_force_links():
+    """Buckets in full: all nodes that could link are marked, and the links join the same components as all pairs do."""
+    r = np.random.default_rng(12)
+    base = r.integers(0, 1 << 60, 400, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[r.random(400) < r.choice([0.8, 0.88, 0.95])], r.integers(0, 1 << 60, r.integers(0, 60), dtype=np.uint64)]) for _ in range(90)]
+    label = np.array([0] * 20 + list(range(20, 90)))
+    sigs = [minhash.signature(x) for x in sets]
+    keys = np.stack([minhash.band_keys(x) for x in sigs])
+    tags = (keys & 0xFFFF).astype(">u2")
+    links, marked = [], set()
+    for band in range(minhash.BANDS):
+        for key in set(keys[:, band].tolist()):
+            own = np.flatnonzero(keys[:, band] == key)
+            columns = {"key": [key] * len(own), "low": [0] * len(own), "high": [0] * len(own), "part": [0] * len(own), "band": pa.array([band] * len(own), pa.int32()), "nid": own, "label": label[own]}
+            group = pa.table(columns | {"sig": [sigs[i].astype(np.uint8).tobytes() + tags[i].tobytes() for i in own]})
+            now = [x for b in minhash._marker(0.75)(group) for x in b.column("nid").to_pylist()]
+            marked |= set(now)
+            told = group.filter(pa.array(np.isin(own, now))).append_column("shingles", [[sets[i].tobytes() for i in now]])
+            if now:
+                links += [(x, y) for b in minhash._linker(0.75)(told) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+
+    def joined(pairs):
+        root = dict(enumerate(label.tolist()))
+        for x, y in pairs:
+            a, b = sorted((root[x], root[y]))
+            root = {k: a if v == b else v for k, v in root.items()}
+        return root
+
+    near = [(i, j) for i in range(90) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+    assert all((i, j) in near or (j, i) in near for i, j in links) and joined(links) == joined(near)
+    assert 5 < len(set(joined(near).values())) < 60 and {k for x in near for k in x if label[x[0]] != label[x[1]]} <= marked
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "x long, y long")
     assert {(r.node, r.label) for r in components(links).collect()} == {(k, 0) for k in range(61)} | {(100, 100), (101, 100)}
