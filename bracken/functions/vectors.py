@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -77,3 +78,33 @@ def _embed(texts: pd.Series) -> pd.Series:
 def embed_text(text: Column) -> Column:
     """hash_embedding for many texts: counting into 384 places is quicker in one array than in an expression."""
     return F.pandas_udf(_embed, "array<double>")(text)
+
+
+def encode_batches(encode: Callable[[list[str]], list], prefix: str, dim: int, batch: int, texts: list[str | None]) -> list[list[float]]:
+    """encode of prefixed texts, `batch` at a time; a batch that fails is tried text by text. Vectors of another length than dim are an error."""
+    out: list[list[float]] = []
+    for at in range(0, len(texts), batch):
+        own = [prefix + (t or "") for t in texts[at : at + batch]]
+        try:
+            found = list(encode(own))
+        except Exception:
+            found = [v for t in own for v in encode([t])]
+        out += [[float(x) for x in v] for v in found]
+    if wrong := {len(v) for v in out} - {dim}:
+        raise ValueError(f"vectors of {wrong} numbers instead of {dim}")
+    return out
+
+
+def model_embedding(load: Callable[[], Callable[[list[str]], list]], dim: int = DIM, prefix: str = "passage: ", batch: int = 32) -> Callable[[Column], Column]:
+    """A text column to a vector column by a model. load() gives encode(texts); it is called once in each worker.
+
+    Retrieval models tell stored texts from questions by a prefix: use `passage: ` for Engine(embed=...), `query: ` for
+    embed_query.
+    """
+
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for texts in batches:
+            yield pd.Series(encode_batches(encode, prefix, dim, batch, texts.tolist()))
+
+    return lambda text: F.pandas_udf(embed, "array<double>")(text)

@@ -54,7 +54,7 @@ def chunk_pages(pages: DataFrame, window: int = WINDOW, overlap: int = OVERLAP,
 
     made = pages.select("doc_id", "pages").mapInArrow(run, "doc_id string, chunks array<struct<page:int,chunk_index:int,char_start:int,char_end:int,content:string>>")
     rows = made.select("doc_id", F.inline("chunks"))
-    chunk_id = F.concat("doc_id", F.lit("#"), F.lpad(F.col("chunk_index").cast("string"), 5, "0"))
+    chunk_id = F.concat("doc_id", F.lit("#"), F.format_string("%05d", "chunk_index"))
     return rows.withColumn("chunk_id", chunk_id).withColumn("chunk_signal", chunk_signal(F.col("content")))
 
 

@@ -15,17 +15,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..plans.staging import staged
 
 SAME_DOC, SEMANTIC, SEMANTIC_FLOOR, SEMANTIC_MOST = 0.5, 0.62, 0.45, 5
 ANCHOR, MANIFEST = 0.9, 0.3
 SHARED = {"DATE": 0.60, "PROPER": 0.65, "PHRASE": 0.70}
 FANOUT, DOC_FRACTION = 8, 0.5
+#: Vectors of a block, rows of it that are multiplied at once, and arrivals that one task counts of a value.
+BLOCK, SLICE, COUNTED = 4096, 256, 1 << 16
 COLUMNS = ("src_chunk", "dst_chunk", "weight", "edge_type", "reason")
 
 
 def arrivals(documents: DataFrame, *order: str) -> DataFrame:
-    """documents with `arrival` 1, 2, ...: ranks inside ranges, plus the counts of the ranges before, so no task sorts all."""
-    spread = documents.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """documents with `arrival` 1, 2, ...: ranks inside ranges, plus the counts of the ranges before, so no task sorts all.
+
+    The ranges are written once: what counts them and what ranks in them must see the same ones.
+    """
+    spread = staged(documents.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "arrivals")
     own = spread.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
@@ -56,54 +62,74 @@ def semantic_within(vectors: DataFrame) -> DataFrame:
     return pairs.where(F.col("weight") >= SEMANTIC).select("src_chunk", "dst_chunk", "weight", F.lit("semantic").alias("edge_type"), cos_reason(F.col("weight")).alias("reason"))
 
 
-def top_neighbors(vectors: DataFrame, k: int = SEMANTIC_MOST, floor: float = SEMANTIC_FLOOR, blocks: int = 8) -> DataFrame:
+def _units(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_numpy())
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def top_neighbors(vectors: DataFrame, k: int = SEMANTIC_MOST, floor: float = SEMANTIC_FLOOR, among: DataFrame | None = None) -> DataFrame:
     """(chunk_id, other, sim): for each vector the k most similar ones of earlier documents (arrival), with at least `floor`.
 
-    Exact, block against block: a pair of blocks is one matrix product in one task, and only its k best leave it.
+    among: where these are looked for; by default in vectors. Exact, block against block: a task holds two blocks of
+    BLOCK vectors at most, multiplies them in slices, and only the k best of each vector leave it. The blocks follow
+    from the counts, so the work grows with the product of both sides and no task does.
     """
-    rows = vectors.select("chunk_id", "arrival", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("own"))
-    left = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = rows.select(*[F.col(c).alias(f"{c}_") for c in rows.columns]).withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def unit(x: pd.Series) -> np.ndarray:
-        m = np.stack(x.to_numpy())
-        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-    def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(a) and len(b):
-            sims = np.clip(unit(a["embedding"]) @ unit(b["embedding_"]).T, 0, 1)
-            ids, when = b["chunk_id_"].to_numpy(), b["arrival_"].to_numpy()
-            for i, (c, at) in enumerate(zip(a["chunk_id"], a["arrival"])):
-                ok = np.flatnonzero((when < at) & (sims[i] >= floor - 1e-9))
-                own = ok[np.lexsort((ids[ok], -np.round(sims[i][ok], 9)))][:k]
-                out += [(c, ids[j], float(sims[i][j])) for j in own]
-        return pd.DataFrame(out, columns=["chunk_id", "other", "sim"]).astype({"chunk_id": "object", "other": "object", "sim": "float64"})
-
-    both = left.groupBy("own", "other").cogroup(right.groupBy("w", "own_")).applyInPandas(best, "chunk_id string, other string, sim double")
+    columns = ["chunk_id", "arrival", F.col("embedding").cast("array<double>").alias("embedding")]
+
+    def blocked(rows: DataFrame) -> tuple[DataFrame, int]:
+        rows = staged(rows.where("embedding is not null").select(*columns), "near")
+        count = rows.count()
+        n = max(1, min(8, count // 256), -(-count // BLOCK))
+        return rows.withColumn("own", F.pmod(F.xxhash64("chunk_id"), F.lit(n))), n
+
+    left, a = blocked(vectors)
+    right, b = (left, a) if among is None else blocked(among)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def best(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(new) and len(old):
+            old = old.set_axis(["b", *new.columns[1:-1], "a"], axis=1).sort_values("chunk_id")
+            width = old["embedding"].map(len).to_numpy()
+            for n in set(new["embedding"].map(len)) & set(width):
+                own, other = new[new["embedding"].map(len) == n], old[width == n]
+                unit, ids, when = _units(other["embedding"]), other["chunk_id"].to_numpy(), other["arrival"].to_numpy()
+                for at in range(0, len(own), SLICE):
+                    part = own.iloc[at : at + SLICE]
+                    sims = np.clip(_units(part["embedding"]) @ unit.T, 0, 1)
+                    sims[when[None, :] >= part["arrival"].to_numpy()[:, None]] = -1
+                    near = np.round(sims, 9)
+                    # Stable on rows that are sorted by id: ties go to the smaller one.
+                    order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(sims, order, axis=1)
+                    i, j = np.nonzero(value >= floor)
+                    out.append(pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy()[i], "other": ids[order[i, j]], "sim": value[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"chunk_id": [], "other": [], "sim": []}).astype({"chunk_id": "object", "other": "object", "sim": "float64"})
+
+    left = left.select(F.col("own").alias("a"), "chunk_id", "arrival", "embedding", every(b).alias("b"))
+    # Other names, as both sides may be one table.
+    right = right.select(F.col("own").alias("b_"), *[F.col(c).alias(f"{c}_") for c in ("chunk_id", "arrival", "embedding")], every(a).alias("a_"))
+    both = left.groupBy("a", "b").cogroup(right.groupBy("a_", "b_")).applyInPandas(best, "chunk_id string, other string, sim double")
     order = W.partitionBy("chunk_id").orderBy(F.desc(F.round("sim", 9)), "other")
-    return both.where(F.col("sim") >= floor).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
-def semantic_across(vectors: DataFrame) -> DataFrame:
-    near = top_neighbors(vectors)
+def semantic_across(vectors: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    near = top_neighbors(vectors, among=among)
     kind = F.when(F.col("sim") >= SEMANTIC, "semantic").otherwise("semantic_topk")
     return near.select(*canonical(F.col("chunk_id"), F.col("other")), F.col("sim").alias("weight"), kind.alias("edge_type"), cos_reason(F.col("sim")).alias("reason"))
 
 
-def _shared(entities: DataFrame, kinds: list[str], extra: DataFrame | None = None) -> DataFrame:
-    """Rows (chunk_id, other, entity_type, value): the first FANOUT matches in earlier documents of each entity row.
+def _shared(entities: DataFrame, kinds: list[str], new: DataFrame) -> DataFrame:
+    """Rows (chunk_id, other, entity_type, value): the first FANOUT matches in earlier documents of each row of `new`.
 
     entities: with arrival. Matches come in order of (arrival, chunk_id, seq), so a value's first FANOUT rows are all
     that any later row can get: a hot value is cut to them before the join.
     """
-    rows = entities.where(F.col("entity_type").isin(kinds)).select("chunk_id", "seq", "arrival", "entity_type", F.coalesce("normalized_value", "value").alias("value"))
-    order = W.partitionBy("entity_type", "value").orderBy("arrival", "chunk_id", "seq")
-    first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FANOUT)
-    first = first.select("entity_type", "value", F.col("chunk_id").alias("other"), F.col("arrival").alias("earlier"))
-    new = rows if extra is None else extra
-    return new.join(first, ["entity_type", "value"]).where("earlier < arrival")
+    first = first_matches(entities.where(F.col("entity_type").isin(kinds))).select("entity_type", "value", F.col("chunk_id").alias("other"), F.col("arrival").alias("earlier"))
+    rows = new.where(F.col("entity_type").isin(kinds)).withColumn("value", F.coalesce("normalized_value", "value")) if "normalized_value" in new.columns else new
+    return rows.select("chunk_id", "arrival", "entity_type", "value").join(first, ["entity_type", "value"]).where("earlier < arrival")
 
 
 def content_entities(entities: DataFrame, chunks: DataFrame, documents: DataFrame, doc_class: str | None = "content") -> DataFrame:
@@ -113,29 +139,61 @@ def content_entities(entities: DataFrame, chunks: DataFrame, documents: DataFram
     return entities.join(own, "chunk_id", "left_semi").join(docs.select("doc_id", "arrival"), "doc_id")
 
 
-def shared_anchor(entities: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    hits = _shared(content_entities(entities, chunks, documents), ["ANCHOR"])
-    return hits.select(*canonical(F.col("chunk_id"), F.col("other")), F.lit(ANCHOR).alias("weight"), F.lit("shared_anchor").alias("edge_type"), F.concat(F.lit("anchor:"), "value").alias("reason"))
+def first_matches(entities: DataFrame) -> DataFrame:
+    """(entity_type, value, chunk_id, place): the first FANOUT rows of each value, in order of arrival. entities: with arrival."""
+    own = entities.select("entity_type", F.coalesce("normalized_value", "value").alias("value"), "chunk_id", "arrival", "seq")
+    place = F.row_number().over(W.partitionBy("entity_type", "value").orderBy("arrival", "chunk_id", "seq"))
+    return own.withColumn("place", place).where(F.col("place") <= FANOUT).drop("seq")
+
+
+def _of(rows: DataFrame, new: DataFrame | None) -> DataFrame:
+    return rows if new is None else rows.join(new.select("doc_id"), "doc_id", "left_semi")
+
+
+def _by_anchor(entities: DataFrame, chunks: DataFrame, documents: DataFrame, new: DataFrame | None, doc_class: str, weight: float, kind: str, prefix: str) -> DataFrame:
+    own = content_entities(entities, chunks, documents, doc_class)
+    hits = _shared(own, ["ANCHOR"], _of(own, new))
+    return hits.select(*canonical(F.col("chunk_id"), F.col("other")), F.lit(weight).alias("weight"), F.lit(kind).alias("edge_type"), F.concat(F.lit(prefix), "value").alias("reason"))
+
 
+def shared_anchor(entities: DataFrame, chunks: DataFrame, documents: DataFrame, new: DataFrame | None = None) -> DataFrame:
+    """new (doc_id): link these documents only, to all before them; by default all documents."""
+    return _by_anchor(entities, chunks, documents, new, "content", ANCHOR, "shared_anchor", "anchor:")
 
-def manifest_overlap(entities: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    hits = _shared(content_entities(entities, chunks, documents, "reference"), ["ANCHOR"])
-    return hits.select(*canonical(F.col("chunk_id"), F.col("other")), F.lit(MANIFEST).alias("weight"), F.lit("manifest_overlap").alias("edge_type"), F.concat(F.lit("manifest:"), "value").alias("reason"))
 
+def manifest_overlap(entities: DataFrame, chunks: DataFrame, documents: DataFrame, new: DataFrame | None = None) -> DataFrame:
+    return _by_anchor(entities, chunks, documents, new, "reference", MANIFEST, "manifest_overlap", "manifest:")
 
-def shared_entity(entities: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+
+def holders_so_far(holders: DataFrame) -> DataFrame:
+    """holders (entity_type, value, arrival), different ones, with df: how many hold the value up to and including the arrival.
+
+    Counted inside spans of COUNTED arrivals, plus the counts of the spans before: no task gets all holders of a hot value.
+    """
+    rows = holders.withColumn("_span", F.floor(F.col("arrival") / COUNTED))
+    keys = ["entity_type", "value"]
+    spans = rows.groupBy(*keys, "_span").agg(F.count("*").alias("_n"))
+    before = spans.select(*keys, "_span", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_span")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_span").orderBy("arrival"))
+    return rows.withColumn("_in", inside).join(before, [*keys, "_span"]).select(*keys, "arrival", (F.col("_in") + F.col("_before")).alias("df"))
+
+
+def shared_entity(entities: DataFrame, chunks: DataFrame, documents: DataFrame, new: DataFrame | None = None) -> DataFrame:
     """Dates, proper nouns and phrases; values that more than half of the documents so far hold are skipped.
 
     How many documents hold a value counts those of every class, up to and including the new one.
     """
-    every = content_entities(entities, chunks, documents, None).where(F.col("entity_type").isin(list(SHARED)))
-    holders = every.select("entity_type", F.coalesce("normalized_value", "value").alias("value"), "arrival").distinct()
-    so_far = holders.withColumn("df", F.row_number().over(W.partitionBy("entity_type", "value").orderBy("arrival")))
-    common = so_far.where((F.col("arrival") > 4) & (F.col("df") > F.ceil(F.col("arrival") * DOC_FRACTION))).select("entity_type", "value", "arrival")
+    kinds = list(SHARED)
+    value = F.coalesce("normalized_value", "value").alias("value")
+    every = content_entities(entities, chunks, documents, None).where(F.col("entity_type").isin(kinds))
     own = content_entities(entities, chunks, documents)
-    new = own.where(F.col("entity_type").isin(list(SHARED))).select("chunk_id", "seq", "arrival", "entity_type", F.coalesce("normalized_value", "value").alias("value"))
-    new = new.join(common, ["entity_type", "value", "arrival"], "left_anti")
-    hits = _shared(own, list(SHARED), new)
+    fresh = _of(own, new).where(F.col("entity_type").isin(kinds)).select("chunk_id", "seq", "arrival", "entity_type", value)
+    holders = every.select("entity_type", value, "arrival").distinct()
+    if new is not None:
+        holders = holders.join(fresh.select("entity_type", "value").distinct(), ["entity_type", "value"], "left_semi")
+    common = holders_so_far(holders).where((F.col("arrival") > 4) & (F.col("df") > F.ceil(F.col("arrival") * DOC_FRACTION))).select("entity_type", "value", "arrival")
+    fresh = fresh.join(common, ["entity_type", "value", "arrival"], "left_anti")
+    hits = _shared(own, kinds, fresh)
     weight = F.create_map(*[F.lit(x) for pair in SHARED.items() for x in pair])
     reason = F.concat(F.lower("entity_type"), F.lit(":"), "value")
     return hits.select(*canonical(F.col("chunk_id"), F.col("other")), weight[F.col("entity_type")].alias("weight"), F.lit("shared_entity").alias("edge_type"), reason.alias("reason"))
@@ -156,6 +214,18 @@ def merge_edges(*families: DataFrame) -> DataFrame:
     return best.select(*COLUMNS)
 
 
+def endpoints(edges: DataFrame) -> DataFrame:
+    """(chunk_id, weight): a row for each end of each edge, so two for one that leads back to its own chunk."""
+    return edges.select(F.col("src_chunk").alias("chunk_id"), "weight").unionAll(edges.select("dst_chunk", "weight"))
+
+
+def strongest(edges: DataFrame, n: int, among: DataFrame | None = None) -> DataFrame:
+    """(node, other, weight, edge_type, reason, rank): the n heaviest edges of each node, ties to the smaller other end. among (other): only these ends count."""
+    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("weight"), "other"))
+    both = symmetric(edges) if among is None else symmetric(edges).join(among, "other", "left_semi")
+    return both.withColumn("rank", place).where(F.col("rank") <= n)
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """Each edge from both ends: (node, other, weight, edge_type, reason)."""
     a = edges.select(F.col("src_chunk").alias("node"), F.col("dst_chunk").alias("other"), "weight", "edge_type", "reason")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -66,6 +67,14 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.when(F.size(values) > 0, F.get(s, at - 1)).otherwise(0.0)
 
 
+def percentiles(rows: DataFrame, by: str, value: str, ps: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """(by, n, mean, p50, ...): nearest-rank percentiles by position: a sort in each group's window, without gathering its values."""
+    w = W.partitionBy(by)
+    at = rows.select(by, F.col(value).alias("_v")).withColumn("_at", F.row_number().over(w.orderBy("_v"))).withColumn("_of", F.count("*").over(w))
+    own = [F.max(F.when(F.col("_at") == F.greatest(F.lit(1), F.ceil(F.col("_of") * p / 100)), F.col("_v"))).alias(f"p{p}") for p in ps]
+    return at.groupBy(by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), *own)
+
+
 def quality_index(recall: Column, p95_ms: Column) -> Column:
     latency = F.greatest(F.lit(0.0), 100 - p95_ms / 5)
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(0.7 * recall * 100 + 0.3 * latency, 1)))

@@ -40,6 +40,27 @@ def degrees(edges: DataFrame) -> DataFrame:
     return symmetric(edges).groupBy(F.col("node").alias("chunk_id")).agg(F.count("*").alias("degree"))
 
 
+def by_degree(edges: DataFrame, limit: int) -> DataFrame:
+    """(chunk_id, degree): the chunks of the most edges, ties to the smaller id."""
+    return degrees(edges).orderBy(F.desc("degree"), "chunk_id").limit(limit)
+
+
+#: The order in which a drawing shows kinds of links, and how many nodes and links it has room for.
+LINK_ORDER, SHOWN_NODES, SHOWN_LINKS = ("shared_anchor", "shared_entity", "semantic", "semantic_topk", "manifest_overlap"), 160, 520
+
+
+def shown_links(edges: DataFrame, limit: int = SHOWN_LINKS) -> DataFrame:
+    """The links that a drawing shows, with type_rank: the kinds that say most first, then the heaviest."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LINK_ORDER)), F.col("edge_type")), F.lit(0)), F.lit(len(LINK_ORDER) + 1)).cast("int")
+    return edges.withColumn("type_rank", rank).orderBy("type_rank", F.desc("weight"), "src_chunk", "dst_chunk").limit(limit)
+
+
+def with_documents(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """edges between chunks that exist, with src_doc and dst_doc."""
+    end = lambda name: chunks.select(F.col("chunk_id").alias(f"{name}_chunk"), F.col("doc_id").alias(f"{name}_doc"))
+    return edges.join(end("src"), "src_chunk").join(end("dst"), "dst_chunk").select(*edges.columns, "src_doc", "dst_doc")
+
+
 def node_rows(ids: DataFrame, edges: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """ids (chunk_id, ...) with doc_id, filename, class, signal and degree."""
     meta = chunks.join(documents.select("doc_id", "filename", "doc_class"), "doc_id").select("chunk_id", "doc_id", "filename", "doc_class", "chunk_signal")

@@ -12,10 +12,10 @@ K1, B = 1.2, 0.75
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, dl)."""
-    terms = chunks.select("chunk_id", index_terms(F.col("content")).alias("terms"))
-    rows = terms.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return rows.groupBy("term", "chunk_id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    """(term, chunk_id, doc_id, tf, dl). A chunk's terms are counted inside its row: nothing is exchanged."""
+    terms = chunks.select("chunk_id", "doc_id", index_terms(F.col("content")).alias("terms"))
+    counted = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
+    return terms.select("chunk_id", "doc_id", F.size("terms").alias("dl"), F.inline(counted)).select("term", "chunk_id", "doc_id", "tf", "dl")
 
 
 def term_stats(posts: DataFrame) -> DataFrame:
@@ -23,24 +23,33 @@ def term_stats(posts: DataFrame) -> DataFrame:
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: n chunks and their mean length."""
+    """One row: n chunks and their mean length. To be stored with the index: it reads all texts."""
     return chunks.agg(F.count("*").alias("n"), F.avg(F.size(index_terms(F.col("content")))).alias("avgdl"))
 
 
+def stats_of_postings(posts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """corpus_stats of chunks without reading texts: a chunk's postings say how long it is. Chunks without a term count as empty."""
+    lengths = posts.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
+    return chunks.select("chunk_id").join(lengths, "chunk_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
+
+
 def bm25_term(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, posts: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score): the k best chunks for any of the query's terms, ties to the smaller chunk_id.
+def bm25(queries: DataFrame, posts: DataFrame, stats: DataFrame, k: int, visible: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks for any of the query's terms, ties to the smaller chunk_id.
 
-    Only postings of the queries' terms pass the first join; counts of these terms and the corpus row go along.
+    posts may hold hidden chunks, if the visible ones are named (chunk_id): those alone count, for frequencies and for
+    places, as in stats, the row of corpus_stats. Only postings of the queries' terms pass the first join, so nothing
+    here grows with the corpus but the reading of the postings.
     """
-    posts = postings(chunks) if posts is None else posts
     wanted = queries.select("query_id", F.explode(F.array_distinct(index_terms(sanitize_query(F.col("text"))))).alias("term"))
     own = posts.join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = own.join(term_stats(own), "term").join(wanted, "term").crossJoin(F.broadcast(corpus_stats(chunks)))  # one row
+    if visible is not None:
+        own = own.join(visible.select("chunk_id"), "chunk_id", "left_semi")
+    hits = own.join(term_stats(own), "term").join(wanted, "term").crossJoin(F.broadcast(stats.select("n", "avgdl")))  # one row
     scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(bm25_term(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"))).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

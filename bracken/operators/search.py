@@ -1,7 +1,8 @@
 """Hybrid ranking. Candidates are rows keyed by (query_id, chunk_id), so one job answers many queries.
 
 queries: (query_id, text[, embedding]). Workspace tables: documents (doc_id, filename, doc_class, status), chunks,
-entities, vectors (chunk_id, embedding), edges.
+entities, vectors (chunk_id, embedding[, doc_id]), postings, edges. No search copies a table: what is visible is a
+condition on each, and what a query needs of the corpus as a whole (BM25's counts) is stored with the index.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, contains_phrase, entity_terms, normalize_entity, routing_terms
 from ..plans.staging import staged
-from .edges import symmetric
+from .edges import endpoints, strongest
 from .lexical import bm25
 
 #: Fixed values of the score.
@@ -26,8 +27,8 @@ REFERENCE_FACTOR, LOW_SIGNAL_FACTOR = 0.6, 0.25
 PER_DOC, ROUTED, FANOUT, STRONG, SEEDS = 10, 6, 3, 0.62, 10
 EXPANDABLE = ["semantic", "shared_anchor", "shared_entity", "manifest_overlap"]
 PARTS = ("score_vec", "score_bm25", "score_entity", "score_graph", "score_centrality")
-#: Queries that go to the scan of vectors at once.
-QUERY_BLOCK = 1024
+#: Queries of one product with a batch of vectors, and numbers of query vectors that one scan carries along (256 MB).
+QUERY_BLOCK, SCAN_NUMBERS = 1024, 1 << 25
 
 
 def max_normalized(df: DataFrame, score: str = "score", by: str = "query_id") -> DataFrame:
@@ -56,39 +57,94 @@ def indexed_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(docs, "doc_id")
 
 
+def only_visible(rows: DataFrame, documents: DataFrame, visible: DataFrame) -> DataFrame:
+    """Rows of visible documents. By doc_id where there is one: hidden documents are few, and an anti-join with few rows moves nothing."""
+    if "doc_id" in rows.columns:
+        hidden = documents.where("status is null or status <> 'indexed'").select("doc_id")
+        return rows.join(hidden, "doc_id", "left_anti")
+    return rows.join(visible.select("chunk_id"), "chunk_id", "left_semi")
+
+
+class _Best:
+    """The k best rows so far of each query of a block: largest cosine, rounded to nine places, then the smaller id."""
+
+    def __init__(self, ids: list[str], q: np.ndarray, k: int):
+        self.ids, self.k = np.array(ids, object), k
+        norm = np.sqrt((q * q).sum(axis=1, keepdims=True))
+        self.q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
+        self.rows = pd.DataFrame({"i": np.empty(0, np.int64), "chunk_id": np.empty(0, object), "score": np.empty(0)})
+
+    def add(self, unit: np.ndarray, keys: np.ndarray) -> None:
+        """keys: in order, so that of equal rows those with smaller ids come first."""
+        sims = np.clip(self.q @ unit.T, 0, 1)
+        near = np.round(sims, 9)
+        if len(keys) > self.k:
+            may = near >= np.partition(near, -self.k, axis=1)[:, -self.k, None]
+            alike = may.sum(axis=1) > 4 * self.k  # as where nothing is near and all are 0
+            may[alike] = False
+            for row in np.flatnonzero(alike):
+                may[row, np.argsort(-near[row], kind="stable")[: self.k]] = True
+            i, j = np.nonzero(may)
+        else:
+            i, j = (x.ravel() for x in np.indices(sims.shape))
+        rows = pd.concat([self.rows, pd.DataFrame({"i": i, "chunk_id": keys[j], "score": sims[i, j]})])
+        rows = rows.assign(minus=-rows["score"].round(9)).sort_values(["i", "minus", "chunk_id"]).drop(columns="minus")
+        self.rows = rows[rows.groupby("i").cumcount() < self.k]
+
+    def found(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.ids[self.rows["i"].to_numpy(np.int64)], "chunk_id": self.rows["chunk_id"], "score": self.rows["score"]})
+
+
 def vector_candidates(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score): the k nearest vectors by cosine; negative values count as 0, ties go to the smaller id.
 
-    Queries travel in blocks of QUERY_BLOCK; each scan task keeps a block's k best, so at most k rows a query and
-    task are shuffled.
+    The query vectors travel to the scan, in blocks; vectors don't move. One scan carries SCAN_NUMBERS numbers of
+    query vectors (65,536 queries of 512 dimensions), more queries take more scans. A scan task keeps k rows a query
+    over all its batches, so at most those are shuffled. Vectors of other lengths, and null ones, are not found.
     """
     asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = vectors.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = asked.withColumn("block", F.floor((F.row_number().over(W.orderBy("query_id")) - 1) / QUERY_BLOCK))
-    own = blocks.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.collect_list("embedding").alias("q"))
-    local = [(r.ids, np.array(r.q)) for r in own.toLocalIterator()]
-
-    def best(ids: list[str], q: np.ndarray):
-        norm = np.sqrt((q * q).sum(axis=1))
-
+    rows = vectors.where("embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    scans: list[list[tuple[list[str], np.ndarray]]] = []
+    by_width: dict[int, list] = {}
+    room = 0
+
+    def close(own: list) -> None:
+        nonlocal room
+        q = np.array([r.embedding for r in own], float)
+        if not scans or room < q.size:
+            scans.append([])
+            room = SCAN_NUMBERS
+        room -= q.size
+        scans[-1].append(([r.query_id for r in own], q))
+
+    for r in asked.toLocalIterator():
+        own = by_width.setdefault(len(r.embedding), [])
+        own.append(r)
+        if len(own) == QUERY_BLOCK:
+            close(by_width.pop(len(r.embedding)))
+    for own in by_width.values():
+        close(own)
+
+    def scan(blocks):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = [_Best(ids, q, k) for ids, q in blocks.value]
             for pdf in batches:
-                same = pdf[pdf["embedding"].map(len) == q.shape[1]]
-                if not len(same):
-                    continue
-                x, keys = np.stack(same["embedding"].to_numpy()), same["chunk_id"].to_numpy()
-                length = np.sqrt((x * x).sum(axis=1))
-                bottom = norm[:, None] * length[None, :]
-                sims = np.clip(np.divide(q @ x.T, bottom, out=np.zeros_like(bottom), where=bottom > 0), 0, 1)
-                out = []
-                for i, key in enumerate(ids):
-                    top = np.lexsort((keys, -np.round(sims[i], 9)))[:k]
-                    out.append(pd.DataFrame({"query_id": key, "chunk_id": keys[top], "score": sims[i][top]}))
-                yield pd.concat(out)
+                width = pdf["embedding"].map(len)
+                for n in {b.q.shape[1] for b in best} & set(width):
+                    same = pdf[width == n].sort_values("chunk_id")
+                    x, keys = np.stack(same["embedding"].to_numpy()), same["chunk_id"].to_numpy()
+                    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    unit = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+                    for b in best:
+                        if b.q.shape[1] == n:
+                            b.add(unit, keys)
+            for b in best:
+                yield b.found()
 
         return run
 
-    found = [rows.mapInPandas(best(ids, q), "query_id string, chunk_id string, score double") for ids, q in local]
+    context = rows.sparkSession.sparkContext
+    found = [rows.mapInPandas(scan(context.broadcast(blocks)), "query_id string, chunk_id string, score double") for blocks in scans]
     if not found:
         return rows.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double")
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
@@ -117,13 +173,14 @@ def entity_candidates(queries: DataFrame, entities: DataFrame, k: int) -> DataFr
     """
     asked = queries.select("query_id", normalize_entity(F.col("text")).alias("qn")).withColumn("qt", entity_terms(F.col("qn")))
     asked = asked.where((F.col("qn") != "") & (F.size("qt") > 0))
-    counted = entities.groupBy("chunk_id", F.col("normalized_value").alias("en")).agg(F.count("*").alias("n"))
-    values = counted.select("en").where("en <> ''").distinct()
+    own = entities.select("chunk_id", F.col("normalized_value").alias("en"))
+    values = own.select("en").where("en <> ''").distinct()
     single = lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != "")  # noqa: E731  words of any length
     keyed = values.withColumn("t", F.explode(F.array_distinct(single(F.col("en")))))
     met = keyed.join(asked.withColumn("t", F.explode(F.array_distinct(single(F.col("qn"))))), "t").select("query_id", "qn", "qt", "en").distinct()
-    met = met.withColumn("m", entity_match(F.col("qn"), F.col("qt"), F.col("en"))).where("m > 0")
-    scored = counted.join(met, "en").groupBy("query_id", "chunk_id").agg(F.sum(F.col("m") * F.col("n")).alias("score"))
+    met = met.withColumn("m", entity_match(F.col("qn"), F.col("qt"), F.col("en"))).where("m > 0").select("query_id", "en", "m")
+    # Rows of other values go before anything is summed.
+    scored = own.join(met, "en").groupBy("query_id", "chunk_id").agg(F.sum("m").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
@@ -138,39 +195,69 @@ def has_all_terms(text: Column, terms: Column) -> Column:
     return F.forall(terms, lambda t: F.contains(text, t))
 
 
+def trigrams(text: Column) -> Column:
+    """The different runs of three characters that a text holds."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+
+
 def reference_texts(queries: DataFrame, visible: DataFrame) -> DataFrame:
-    """(query_id, ref): lower-case texts of reference chunks that hold all of the query's terms."""
+    """(query_id, terms, ref): lower-case texts of reference chunks that hold all of the query's terms, as parts of words or whole.
+
+    Terms have three characters or more, so a text that holds them holds their trigrams: texts and queries meet on the
+    query's rarest one, and only where they do all terms are looked for.
+    """
     asked = queries.select("query_id", routing_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    refs = visible.where("doc_class = 'reference' and chunk_signal = 'content'").select(ascii_lower(F.col("content")).alias("ref"))
-    return refs.join(asked, has_all_terms(F.col("ref"), F.col("terms"))).select("query_id", "terms", "ref")
+    refs = visible.where("doc_class = 'reference' and chunk_signal = 'content'").select("chunk_id", ascii_lower(F.col("content")).alias("ref"))
+    wanted = asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("terms", trigrams)))).alias("gram"))
+    held = refs.select("chunk_id", "ref", F.explode(trigrams(F.col("ref"))).alias("gram"))
+    counts = held.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # A trigram that no text holds is the rarest: such a query meets nothing.
+    rare = wanted.join(counts, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    met = held.join(rare, "gram").join(asked, "query_id")
+    return met.where(has_all_terms(F.col("ref"), F.col("terms"))).select("query_id", "terms", "ref")
 
 
 def mentioned(texts: DataFrame, filenames: DataFrame) -> DataFrame:
     """(query_id, filename): the filenames that a query's reference texts contain.
 
-    Candidates are cut out of the texts, wherever a dot has such characters around it; only these are compared.
-    Filenames with other characters are compared as substrings.
+    Names are cut out of the texts and joined by equality: wherever a dot has usual characters around it, and, for
+    names with other characters (spaces, more dots, other letters), at each place in each of the lengths that such
+    names have. File systems limit a name's length, so these lengths are few.
     """
     names = filenames.select("filename", ascii_lower(F.col("filename")).alias("low")).distinct()
-    plain = names.where(F.col("low").rlike(r"^[a-z0-9_#-]+\.[a-z0-9]+$"))
+    usual = F.col("low").rlike(r"^[a-z0-9_#-]+\.[a-z0-9]+$")
     runs = texts.select("query_id", F.explode(F.regexp_extract_all("ref", F.lit(r"[a-z0-9_#-]+\.[a-z0-9]+"), F.lit(0))).alias("run")).distinct()
     # A run may hold a name as a part: its suffixes before the dot and prefixes after it are the names it contains.
     stem, ext = F.regexp_extract("run", r"^(.*)\.", 1), F.regexp_extract("run", r"\.([^.]*)$", 1)
     suffixes = F.transform(F.sequence(F.lit(1), F.length(stem)), lambda i: F.substring(stem, i, F.length(stem)))
     prefixes = F.transform(F.sequence(F.lit(1), F.length(ext)), lambda i: F.substring(ext, F.lit(1), i))
     parts = runs.select("query_id", F.explode(suffixes).alias("s"), prefixes.alias("p")).select("query_id", "s", F.explode("p").alias("e"))
-    cut = parts.select("query_id", F.concat_ws(".", "s", "e").alias("low")).distinct()
-    odd = names.join(plain, "filename", "left_anti")
-    slow = texts.join(odd, F.contains(F.col("ref"), F.col("low"))).select("query_id", "filename")
-    return cut.join(plain, "low").select("query_id", "filename").unionByName(slow).distinct()
+    cut = parts.select("query_id", F.concat_ws(".", "s", "e").alias("low"))
+    odd = names.where(~usual & (F.col("low") != ""))
+    lengths = sorted(r.n for r in odd.select(F.length("low").alias("n")).distinct().collect())
+    if lengths:
+        at = texts.select("query_id", "ref").distinct().select("query_id", "ref", F.explode(F.array(*map(F.lit, lengths))).alias("n"))
+        places = F.explode(F.transform(F.sequence(F.lit(1), F.length("ref") - F.col("n") + 1), lambda i: F.substring("ref", i, F.col("n"))))
+        cut = cut.unionByName(at.where(F.length("ref") >= F.col("n")).select("query_id", places.alias("low")))
+    return cut.distinct().join(names, "low").select("query_id", "filename").distinct()
+
+
+def first_chunks(chunks: DataFrame, n: int = ROUTED) -> DataFrame:
+    """The first n of each file's chunks, with their place."""
+    place = F.row_number().over(W.partitionBy("filename").orderBy("chunk_index", "chunk_id"))
+    return chunks.withColumn("place", place).where(F.col("place") <= n)
+
+
+def expandable(edges: DataFrame) -> DataFrame:
+    """Edges that expansion follows: of the kinds that say something about content, and strong."""
+    return edges.where(F.col("edge_type").isin(EXPANDABLE) & (F.col("weight") >= STRONG))
 
 
 def routed(queries: DataFrame, visible: DataFrame) -> DataFrame:
     """(query_id, chunk_id): of each content file that the query's reference texts mention, those of its first chunks that hold all terms."""
     content = visible.where("doc_class = 'content'")
     files = mentioned(reference_texts(queries, visible), content.select("filename").distinct())
-    place = F.row_number().over(W.partitionBy("filename").orderBy("chunk_index", "chunk_id"))
-    first = content.where("chunk_signal = 'content'").withColumn("place", place).where(F.col("place") <= ROUTED)
+    first = first_chunks(content.where("chunk_signal = 'content'"))
     asked = queries.select("query_id", routing_terms(F.col("text")).alias("terms"))
     hits = first.join(files, "filename").join(asked, "query_id").where(has_all_terms(ascii_lower(F.col("content")), F.col("terms")))
     return hits.select("query_id", "chunk_id").distinct()
@@ -187,9 +274,7 @@ def seeds(scored: DataFrame, n: int = SEEDS) -> DataFrame:
 def expand(seed_rows: DataFrame, edges: DataFrame, visible: DataFrame, depth: int) -> DataFrame:
     """(query_id, chunk_id, score): best product of weights along at most `depth` strong edges from the seeds, normalised."""
     content = visible.where("doc_class = 'content' and chunk_signal = 'content'").select(F.col("chunk_id").alias("other"))
-    strong = symmetric(edges.where(F.col("edge_type").isin(EXPANDABLE) & (F.col("weight") >= STRONG))).join(content, "other", "left_semi")
-    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("weight"), "other"))
-    strong = strong.withColumn("place", place).where(F.col("place") <= FANOUT).select("node", "other", "weight")
+    strong = strongest(expandable(edges), FANOUT, among=content).select("node", "other", "weight")
     front = seed_rows.select("query_id", "chunk_id", F.lit(1.0).alias("score"))
     start, reached = front.select("query_id", "chunk_id"), None
     for _ in range(depth):
@@ -203,38 +288,49 @@ def expand(seed_rows: DataFrame, edges: DataFrame, visible: DataFrame, depth: in
 
 def centrality(edges: DataFrame) -> DataFrame:
     """(chunk_id, score_centrality): the mean weight of a chunk's edges over the largest mean."""
-    ends = edges.select(F.col("src_chunk").alias("chunk_id"), "weight").unionByName(edges.select(F.col("dst_chunk").alias("chunk_id"), "weight"))
-    mean = ends.groupBy("chunk_id").agg(F.avg("weight").alias("m"))
+    mean = endpoints(edges).groupBy("chunk_id").agg(F.avg("weight").alias("m"))
     top = mean.agg(F.max("m").alias("top"))  # one row
     return mean.crossJoin(F.broadcast(top)).select("chunk_id", F.when(F.col("top") > 0, F.col("m") / F.col("top")).otherwise(0.0).alias("score_centrality"))
 
 
-def rank_pool(queries: DataFrame, candidates: DataFrame, visible: DataFrame, limit: int) -> DataFrame:
-    """Scores, promotes the best chunk of each file that reference texts mention, puts content first, caps each document."""
-    meta = visible.select("chunk_id", "doc_id", "filename", "doc_class", "chunk_signal", "content")
-    rows = candidates.join(meta, "chunk_id").withColumn("score", final_score())
+def promoted(queries: DataFrame, rows: DataFrame, visible: DataFrame) -> DataFrame:
+    """rows (candidates with score and what visible says of their chunks) with `promoted`: the best chunk of each content file that reference texts name.
+
+    The texts are those of the query's own good reference candidates, else those of all reference chunks with its terms.
+    """
     near = F.greatest("score_vec", "score_bm25", "score_entity") >= GATE
     own = rows.where(near & (F.col("doc_class") == "reference")).select("query_id", ascii_lower(F.col("content")).alias("ref"))
     other = reference_texts(queries, visible).select("query_id", "ref").join(own.select("query_id").distinct(), "query_id", "left_anti")
     files = mentioned(own.unionByName(other), rows.where("doc_class = 'content'").select("filename").distinct()).withColumn("told", F.lit(True))
-    best = [F.desc(F.round("score", 9)), F.col("chunk_id")]
-    rows = rows.join(files, ["query_id", "filename"], "left")
-    of_file = F.row_number().over(W.partitionBy("query_id", "filename").orderBy(*best))
-    rows = rows.withColumn("promoted", F.coalesce(F.col("told"), F.lit(False)) & (of_file == 1) & (F.col("doc_class") == "content"))
-    tiers = [is_low_signal().cast("int"), (~F.col("promoted")).cast("int"), *best]
+    of_file = F.row_number().over(W.partitionBy("query_id", "filename").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
+    out = rows.join(files, ["query_id", "filename"], "left").withColumn("_place", of_file)
+    return out.withColumn("promoted", F.coalesce(F.col("told"), F.lit(False)) & (F.col("_place") == 1) & (F.col("doc_class") == "content")).drop("told", "_place")
+
+
+def rank_pool(queries: DataFrame, candidates: DataFrame, visible: DataFrame, limit: int) -> DataFrame:
+    """Scores, promotes the best chunk of each file that reference texts mention, puts content first, caps each document."""
+    meta = visible.select("chunk_id", "doc_id", "filename", "doc_class", "chunk_signal", "content")
+    rows = promoted(queries, staged(candidates.join(meta, "chunk_id").withColumn("score", final_score()), "scored"), visible)
+    tiers = [is_low_signal().cast("int"), (~F.col("promoted")).cast("int"), F.desc(F.round("score", 9)), F.col("chunk_id")]
     rows = rows.withColumn("of_doc", F.row_number().over(W.partitionBy("query_id", "doc_id").orderBy(*tiers)))
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy((F.col("of_doc") > PER_DOC).cast("int"), *tiers)))
-    return rows.where(F.col("rank") <= max(1, limit)).select("query_id", "rank", "chunk_id", "doc_id", "filename", "chunk_signal", "content", "score", *PARTS)
+    return rows.where(F.col("rank") <= max(1, limit)).select("query_id", "rank", "chunk_id", "doc_id", "filename", "chunk_signal", "content", "promoted", "score", *PARTS)
+
 
+def hybrid_search(
+    queries: DataFrame, documents: DataFrame, chunks: DataFrame, entities: DataFrame, vectors: DataFrame, posts: DataFrame, stats: DataFrame,
+    edges: DataFrame | None = None, limit: int = 10, depth: int = 0, with_centrality: bool = False,
+) -> DataFrame:
+    """Ranked results of all queries over the chunks of indexed documents.
 
-def hybrid_search(queries: DataFrame, documents: DataFrame, chunks: DataFrame, entities: DataFrame, vectors: DataFrame, edges: DataFrame | None = None, limit: int = 10, depth: int = 0, with_centrality: bool = False, posts: DataFrame | None = None, visible: DataFrame | None = None) -> DataFrame:
-    """Ranked results of all queries. Expansion through the graph (depth > 0, with edges) and centrality are off by default."""
+    posts and stats are the inverted index, of all chunks or of the visible ones, and the visible ones' corpus_stats.
+    Expansion through the graph (depth > 0, with edges) and centrality are off by default.
+    """
     k = max(limit, 10)
-    visible = staged(indexed_chunks(chunks, documents), "visible") if visible is None else visible
-    ids = visible.select("chunk_id")
-    vec = vector_candidates(queries, vectors.join(ids, "chunk_id", "left_semi"), k)
-    lex = bm25(visible, queries, k, posts)
-    ent = entity_candidates(queries, entities.join(ids, "chunk_id", "left_semi"), k)
+    visible = indexed_chunks(chunks, documents)
+    vec = vector_candidates(queries, only_visible(vectors, documents, visible), k)
+    lex = bm25(queries, posts, stats, k, visible)
+    ent = entity_candidates(queries, only_visible(entities, documents, visible), k)
     rows = pool(vec, lex, ent)
     way = routed(queries, visible).select("query_id", "chunk_id", F.lit(1.0).alias("way"))
     rows = rows.join(way, ["query_id", "chunk_id"], "full").select("query_id", "chunk_id", *[F.coalesce(p, F.lit(0.0)).alias(p) for p in PARTS if p != "score_graph"], F.greatest(F.coalesce("score_graph", F.lit(0.0)), F.coalesce("way", F.lit(0.0))).alias("score_graph"))

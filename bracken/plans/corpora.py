@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import doc_class, format_of
+from ..functions.vectors import embed_text
 from ..operators import edges as E
 from ..operators.chunking import chunk_texts
 from ..operators.entities import extract_entities
-from ..operators.lexical import postings
+from ..operators.lexical import postings, stats_of_postings
 from ..operators.search import indexed_chunks
 from .staging import staged
 
@@ -73,10 +74,19 @@ class Corpus:
     def visible(self) -> DataFrame:
         return staged(indexed_chunks(self.chunks, self.documents), "visible")
 
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return staged(self.chunks.select("chunk_id", "doc_id", embed_text(F.col("content")).alias("embedding")), "vectors")
+
     @cached_property
     def postings(self) -> DataFrame:
-        """Of the visible chunks."""
-        return staged(postings(self.visible), "postings")
+        """Of all chunks, hidden ones included."""
+        return staged(postings(self.chunks), "postings")
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        """Of the visible chunks: one row, made when the index is."""
+        return staged(stats_of_postings(self.postings, self.visible), "stats")
 
 
 #: Indexes of this session's runs, by corpus and input.

@@ -1,28 +1,22 @@
-"""Changes to a workspace: upserts, deletes, invalidation, and the tables on disk.
-
-Tables are immutable DataFrames; a change makes a new one, and `Workspace.save` swaps it in by writing a new version
-folder and then one small pointer, so readers see the old or the new state and a failed write leaves the old one.
-"""
+"""Changes to tables as DataFrames: upserts, deletes, invalidation, statistics. How they reach the disk: workspace.py."""
 
 from __future__ import annotations
 
 import hashlib
-import json
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.edges import COLUMNS
 
+#: n_chunks and n_terms: chunks of a document and the words in them, of which search's counts are sums.
 SCHEMAS = {
-    "documents": "doc_id string, path string, filename string, format string, size_bytes long, hash string, indexed_at timestamp, status string, error_msg string, doc_class string",
+    "documents": "doc_id string, path string, filename string, format string, size_bytes long, hash string, indexed_at timestamp, status string, error_msg string, doc_class string, n_chunks long, n_terms long",
     "chunks": "doc_id string, page int, chunk_index int, char_start int, char_end int, content string, chunk_id string, chunk_signal string",
-    "vectors": "chunk_id string, embedding array<double>",
+    "vectors": "chunk_id string, doc_id string, embedding array<double>",
     "edges": "src_chunk string, dst_chunk string, weight double, edge_type string, reason string",
     "entities": "chunk_id string, doc_id string, seq int, entity_type string, value string, confidence double, normalized_value string",
-    "postings": "term string, chunk_id string, tf int, dl int",
+    "postings": "term string, chunk_id string, doc_id string, tf int, dl int",
     "settings": "key string, value string",
 }
 
@@ -96,66 +90,33 @@ def stats(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def first_in_order(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def workdir_id(path: str) -> str:
     return hashlib.sha256(path.encode()).hexdigest()[:16]
 
 
-class Workspace:
-    """The tables of a workdir below root: <root>/workdir_id=<id>/<table>/<version>, and the pointer to the versions."""
-
-    def __init__(self, spark: SparkSession, root: str, workdir: str):
-        self.spark, self.root, self.workdir = spark, root, workdir
-        self.home = f"{root}/workdir_id={workdir_id(workdir)}"
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _versions(self) -> dict[str, str]:
-        fs, p = self._fs(f"{self.home}/current")
-        if not fs.exists(p):
-            return {}
-        rows = self.spark.read.text(f"{self.home}/current").collect()  # one small line
-        return json.loads(rows[0].value) if rows else {}
-
-    def table(self, name: str) -> DataFrame:
-        version = self._versions().get(name)
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).option("mergeSchema", True).parquet(f"{self.home}/{name}/{version}")
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {n: self.table(n) for n in SCHEMAS}
-
-    def save(self, tables: dict[str, DataFrame]) -> None:
-        versions = self._versions()
-        for name, df in tables.items():
-            version = uuid.uuid4().hex
-            columns = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
-            df.select(*columns).write.parquet(f"{self.home}/{name}/{version}")
-            versions[name] = version
-        text = self.spark.range(1).select(F.lit(json.dumps(versions | {"workdir": self.workdir})).alias("value"))
-        staging = f"{self.home}/staging-{uuid.uuid4().hex}"
-        text.coalesce(1).write.text(staging)
-        fs, target = self._fs(f"{self.home}/current")
-        fs.delete(target, True)
-        fs.rename(self._fs(staging)[1], target)
-
-    def reset(self) -> None:
-        self.save({n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
-
-    def delete(self) -> None:
-        fs, p = self._fs(self.home)
-        fs.delete(p, True)
-
-
-def list_workdirs(spark: SparkSession, root: str) -> list[str]:
-    probe = Workspace(spark, root, "")
-    fs, p = probe._fs(f"{root}/workdir_id=*/current")
-    found = fs.globStatus(p) or []
-    return sorted(json.loads(spark.read.text(s.getPath().toString()).first().value)["workdir"] for s in found)
+def workdirs(paths: DataFrame) -> DataFrame:
+    """paths (workdir, ...) with the id that names a workdir's folder."""
+    return paths.withColumn("workdir_id", F.substring(F.sha2("workdir", 256), 1, 16))
+
+
+def recent_first(uses: DataFrame, key: str, when: str, limit: int) -> DataFrame:
+    """(key, last_used): those used last come first."""
+    return uses.groupBy(key).agg(F.max(when).alias("last_used")).orderBy(F.desc("last_used"), key).limit(limit)
+
+
+def named_like(documents: DataFrame, part: str) -> DataFrame:
+    """Documents whose filename holds `part`, whatever the case."""
+    return documents.where(F.lower("filename").contains(part.lower()))
+
+
+def at_path(documents: DataFrame, path: str) -> DataFrame:
+    return documents.where(F.col("path") == path)
+
+
+def chunks_of(chunks: DataFrame, doc_id: str) -> DataFrame:
+    """A document's chunks, in their order."""
+    return chunks.where(F.col("doc_id") == doc_id).orderBy("chunk_index")
+
+
+def without_failed(files: DataFrame, failed: DataFrame, key: str = "path") -> DataFrame:
+    return files.join(failed.select(key), key, "left_anti")

@@ -189,6 +189,38 @@ PARTS |= {
 }
 
 
+def token_bucket(t: str) -> str:
+    """The place of a token among the 384 of the hash embedding."""
+    octets = f"list_transform(range(1, strlen({t}) + 1), lambda i: ('0x' || substr(hex(encode({t})), 2 * i - 1, 2))::int::uhugeint)"
+    return f"(list_reduce([1469598103934665603::uhugeint] || {octets}, lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint) % 384)::integer"
+
+
+_TOKENS = r"unnest(list_filter(string_split_regex({x}, '\s+'), lambda t: t <> '')) as t"
+PARTS |= {
+    "chunk_tokens": (("visible",), f"select chunk_id, t, count(*) as n from (select chunk_id, {_TOKENS.format(x='content')} from visible) group by all"),
+    "query_tokens": (("queries",), f"select query_id, t, count(*) as n from (select query_id, {_TOKENS.format(x='text')} from queries) group by all"),
+    "buckets": (("chunk_tokens", "query_tokens"), f"select t, {token_bucket('t')} as b from (select t from chunk_tokens union select t from query_tokens)"),
+    "chunk_vectors": (("chunk_tokens", "buckets"), "select chunk_id, b, n / sqrt(sum(n * n) over (partition by chunk_id)) as w from (select chunk_id, b, sum(n)::double as n from chunk_tokens join buckets using (t) group by all)"),
+    "query_vectors": (("query_tokens", "buckets"), "select query_id, b, n / sqrt(sum(n * n) over (partition by query_id)) as w from (select query_id, b, sum(n)::double as n from query_tokens join buckets using (t) group by all)"),
+    "vec_top": (("chunk_vectors", "query_vectors"), "select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from (select query_id, chunk_id, least(1, sum(q.w * c.w)) as score from query_vectors q join chunk_vectors c using (b) group by all)) where rank <= 10"),
+}
+#: The same ranking with vector candidates: the parts of the one without, changed where vectors come in.
+_DENSE = {
+    "pool": (("select query_id, chunk_id, max(l) as score_bm25", "select query_id, chunk_id, max(v) as score_vec, max(l) as score_bm25"), ("as l, 0.0::double as e, 0.0::double as g from lex_top", "as l, 0.0::double as e, 0.0::double as g, 0.0::double as v from lex_top"), ("0.0::double from ent_top", "0.0::double, 0.0::double from ent_top"), ("0.0::double, 0.0::double, 1.0::double from routed", "0.0::double, 0.0::double, 1.0::double, 0.0::double from routed union all select query_id, chunk_id, 0.0::double, 0.0::double, 0.0::double, least(1, score / max(score) over (partition by query_id)) from vec_top")),
+    "scored": (("0.35 * score_bm25 *", "(0.40 * score_vec + 0.35 * score_bm25) *"), ("from pool p", "from pool_dense p")),
+    "told_text": (("greatest(score_bm25, score_entity)", "greatest(score_vec, score_bm25, score_entity)"), ("from scored", "from scored_dense")),
+    "told": (("from told_text", "from told_text_dense"), ("from scored", "from scored_dense")),
+    "ranked": (("from scored s", "from scored_dense s"), ("left join told t", "left join told_dense t")),
+}
+for _name, _changes in _DENSE.items():
+    _needs, _text = PARTS[_name]
+    for _old, _new in _changes:
+        if _old not in _text:
+            raise ValueError(f"{_name}: {_old}")
+        _text = _text.replace(_old, _new)
+    PARTS[f"{_name}_dense"] = (tuple(f"{n}_dense" if n in _DENSE else n for n in _needs) + ("vec_top",) * (_name == "pool"), _text)
+
+
 def lines(x: str) -> str:
     """Lines without white space at both ends, empty ones dropped."""
     return rf"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))"

@@ -121,12 +121,10 @@ def _(spark, d):
 _MEDIA = ", ".join(repr(e) for k in ("image", "video", "audio") for e in T.FORMATS[k].split())
 
 
-@query("src_20_sidecar_plan", f"select p_partkey, case when {_EXT} not in ({_MEDIA}) then 'none' when p_size >= 20 then 'skip_fresh' else 'run' end as action from (select f.*, p_size from {_FILES} f join part using (p_partkey))")
-@query("src_21_preprocess_plan", f"select action, count(*) as n from (select case when {_EXT} not in ({_MEDIA}) then 'none' when p_size >= 20 then 'skip_fresh' else 'run' end as action from (select f.*, p_size from {_FILES} f join part using (p_partkey))) group by action")
-def _(spark, d):
-    return None
+_ACTION = f"select p_partkey, case when {_EXT} not in ({_MEDIA}) then 'none' when p_size >= 20 then 'skip_fresh' else 'run' end as action from (select f.*, p_size from {_FILES} f join part using (p_partkey))"
 
 
+@query("src_20_sidecar_plan", _ACTION)
 def _plan(spark, d):
     files = part_files(spark, d).withColumn("path", F.concat("path", F.lit("")))
     own = files.select("p_partkey", F.concat(F.lit("/m/"), F.col("p_partkey").cast("string"), F.lit("/"), T.filename(F.col("path"))).alias("path"), F.lit(20).alias("mtime"), "p_size")
@@ -135,8 +133,9 @@ def _plan(spark, d):
     return preprocess_plan(with_sidecars(own, sides)).select(F.split("path", "/")[2].cast("long").alias("p_partkey"), "action")
 
 
-QUERIES["src_20_sidecar_plan"] = _plan
-QUERIES["src_21_preprocess_plan"] = lambda spark, d: _plan(spark, d).groupBy("action").agg(F.count("*").alias("n"))
+@query("src_21_preprocess_plan", f"select action, count(*) as n from ({_ACTION}) group by action")
+def _(spark, d):
+    return _plan(spark, d).groupBy("action").agg(F.count("*").alias("n"))
 
 
 @query("src_23_postings", "select term, count(*) as df, sum(tf)::bigint as tf from vposts group by term", "vposts")
@@ -245,10 +244,7 @@ def _(spark, d):
     return prose(spark, d).documents.select("doc_id", T.excerpt_key(F.col("text")).alias("key"))
 
 
-_HASH = "list_reduce([1469598103934665603::uhugeint] || list_transform(range(1, strlen(t) + 1), lambda i: ('0x' || substr(hex(encode(t)), 2 * i - 1, 2))::int::uhugeint), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
-
-
-@query("txt_17_hash_embedding", rf"select item_id, b::integer as bucket, round(n / sqrt(sum(n * n) over (partition by item_id)), 6) as weight from (select item_id, b, count(*)::double as n from (select item_id, ({_HASH} % 384)::integer as b from (select item_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) as t from benchmark)) group by all)")
+@query("txt_17_hash_embedding", rf"select item_id, b::integer as bucket, round(n / sqrt(sum(n * n) over (partition by item_id)), 6) as weight from (select item_id, b, count(*)::double as n from (select item_id, {O.token_bucket('t')} as b from (select item_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) as t from benchmark)) group by all)")
 def _(spark, d):
     v = read(spark, d, "benchmark").select("item_id", F.posexplode(hash_embedding(F.col("text"))).alias("bucket", "w"))
     return v.where("w > 0").select("item_id", "bucket", F.round("w", 6).alias("weight"))
@@ -282,13 +278,15 @@ def _(spark, d):
 
 
 @query("flt_01_visible", "select chunk_id, filename from visible", "visible")
-@query("join_01_chunks_documents", "select chunk_id, doc_id, filename, doc_class from visible", "visible")
 def _(spark, d):
     c = trade(spark, d)
-    return S.indexed_chunks(c.chunks, c.documents).select("chunk_id", "doc_id", "filename", "doc_class")
+    return S.indexed_chunks(c.chunks, c.documents).select("chunk_id", "filename")
 
 
-QUERIES["flt_01_visible"] = lambda spark, d, f=QUERIES["join_01_chunks_documents"]: f(spark, d).select("chunk_id", "filename")
+@query("join_01_chunks_documents", "select chunk_id, doc_id, filename, doc_class from visible", "visible")
+def _(spark, d):
+    c = trade(spark, d)
+    return S.indexed_chunks(c.chunks, c.documents).select("chunk_id", "doc_id", "filename", "doc_class")
 
 
 @query("flt_02_class_and_signal", "select c.chunk_id from chunks c join docs d on c.doc_id = d.doc_id where d.doc_class = 'content' and c.chunk_signal = 'content'", "chunks", "docs")
@@ -310,17 +308,17 @@ def _(spark, d):
 
 @query("flt_05_strong_edges", "select src_chunk, dst_chunk from edges where edge_type in ('semantic', 'shared_anchor', 'shared_entity', 'manifest_overlap') and weight >= 0.62", "edges")
 def _(spark, d):
-    return trade(spark, d).edges.where(F.col("edge_type").isin(S.EXPANDABLE) & (F.col("weight") >= S.STRONG)).select("src_chunk", "dst_chunk")
+    return S.expandable(trade(spark, d).edges).select("src_chunk", "dst_chunk")
 
 
 @query("flt_06_filename_search", "select filename from docs where contains(lower(filename), lower('README'))", "docs")
 def _(spark, d):
-    return trade(spark, d).documents.where(F.lower("filename").contains("readme")).select("filename")
+    return L.named_like(trade(spark, d).documents, "README").select("filename")
 
 
 @query("flt_07_by_path", "select doc_id, filename from docs where '/corpus/' || filename = '/corpus/cust_10.txt'", "docs")
 def _(spark, d):
-    return trade(spark, d).documents.where("path = '/corpus/cust_10.txt'").select("doc_id", "filename")
+    return L.at_path(trade(spark, d).documents, "/corpus/cust_10.txt").select("doc_id", "filename")
 
 
 @query("flt_08_all_terms", f"select q.query_id, c.chunk_id from visible c, queries q where len({O.route_terms('q.text')}) > 0 and len(list_filter({O.route_terms('q.text')}, lambda t: not contains({O.asc('c.content')}, t))) = 0", "visible", "queries")
@@ -363,9 +361,7 @@ def _(spark, d):
 @query("join_05_both_endpoints", "select e.src_chunk, e.dst_chunk, a.doc_id as src_doc, b.doc_id as dst_doc, e.edge_type from edges e join chunks a on a.chunk_id = e.src_chunk join chunks b on b.chunk_id = e.dst_chunk", "edges", "chunks")
 def _(spark, d):
     c = trade(spark, d)
-    a = c.chunks.select(F.col("chunk_id").alias("src_chunk"), F.col("doc_id").alias("src_doc"))
-    b = c.chunks.select(F.col("chunk_id").alias("dst_chunk"), F.col("doc_id").alias("dst_doc"))
-    return c.edges.join(a, "src_chunk").join(b, "dst_chunk").select("src_chunk", "dst_chunk", "src_doc", "dst_doc", "edge_type")
+    return G.with_documents(c.edges, c.chunks).select("src_chunk", "dst_chunk", "src_doc", "dst_doc", "edge_type")
 
 
 @query("join_06_pairs_in_document", "select src_chunk, dst_chunk from same_doc", "same_doc")
@@ -377,12 +373,13 @@ _NEAR = f"(select * from (select a.chunk_id, b.chunk_id as other, {_COS} as sim,
 
 
 @query("join_07_similar_pairs", f"select chunk_id, other, round(sim, 6) as sim from {_NEAR}")
-@query("top_03_semantic_neighbors", f"select chunk_id, count(*) as n, round(max(sim), 6) as best from {_NEAR} group by chunk_id")
 def _(spark, d):
-    return E.top_neighbors(vectors(spark, d)).groupBy("chunk_id").agg(F.count("*").alias("n"), F.round(F.max("sim"), 6).alias("best"))
+    return E.top_neighbors(vectors(spark, d)).select("chunk_id", "other", F.round("sim", 6).alias("sim"))
 
 
-QUERIES["join_07_similar_pairs"] = lambda spark, d: E.top_neighbors(vectors(spark, d)).select("chunk_id", "other", F.round("sim", 6).alias("sim"))
+@query("top_03_semantic_neighbors", f"select chunk_id, count(*) as n, round(max(sim), 6) as best from {_NEAR} group by chunk_id")
+def _(spark, d):
+    return E.top_neighbors(vectors(spark, d)).groupBy("chunk_id").agg(F.count("*").alias("n"), F.round(F.max("sim"), 6).alias("best"))
 
 
 def _pool(spark, d) -> tuple:
@@ -391,21 +388,21 @@ def _pool(spark, d) -> tuple:
     return c, q, c.visible
 
 
-@query("join_08_candidate_pool", "select query_id, chunk_id, round(score_bm25, 6) as score_bm25, round(score_entity, 6) as score_entity from (select query_id, chunk_id, max(l) as score_bm25, max(e) as score_entity from (select query_id, chunk_id, least(1, score / max(score) over (partition by query_id)) as l, 0.0 as e from lex_top union all select query_id, chunk_id, 0.0, least(1, score / max(score) over (partition by query_id)) from ent_top) group by all)", "lex_top", "ent_top")
-@query("rnk_05_pool", "select query_id, count(*) as n, round(sum(score_bm25), 6) as lex, round(sum(score_entity), 6) as ent from (select query_id, chunk_id, max(l) as score_bm25, max(e) as score_entity from (select query_id, chunk_id, least(1, score / max(score) over (partition by query_id)) as l, 0.0 as e from lex_top union all select query_id, chunk_id, 0.0, least(1, score / max(score) over (partition by query_id)) from ent_top) group by all) group by query_id", "lex_top", "ent_top")
-def _(spark, d):
-    return QUERIES["join_08_candidate_pool"](spark, d)
-
-
 def _pooled(spark, d):
     c, q, visible = _pool(spark, d)
-    ent = S.entity_candidates(q, c.entities.join(visible.select("chunk_id"), "chunk_id", "left_semi"), 10)
-    lex = bm25(visible, q, 10, c.postings)
+    lex = bm25(q, c.postings, c.stats, 10, visible)
+    ent = S.entity_candidates(q, S.only_visible(c.entities, c.documents, visible), 10)
     return S.pool(lex.limit(0).select("query_id", "chunk_id", "score"), lex, ent)
 
 
-QUERIES["join_08_candidate_pool"] = lambda spark, d: _pooled(spark, d).select("query_id", "chunk_id", F.round("score_bm25", 6).alias("score_bm25"), F.round("score_entity", 6).alias("score_entity"))
-QUERIES["rnk_05_pool"] = lambda spark, d: _pooled(spark, d).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score_bm25"), 6).alias("lex"), F.round(F.sum("score_entity"), 6).alias("ent"))
+@query("join_08_candidate_pool", "select query_id, chunk_id, round(score_bm25, 6) as score_bm25, round(score_entity, 6) as score_entity from (select query_id, chunk_id, max(l) as score_bm25, max(e) as score_entity from (select query_id, chunk_id, least(1, score / max(score) over (partition by query_id)) as l, 0.0 as e from lex_top union all select query_id, chunk_id, 0.0, least(1, score / max(score) over (partition by query_id)) from ent_top) group by all)", "lex_top", "ent_top")
+def _(spark, d):
+    return _pooled(spark, d).select("query_id", "chunk_id", F.round("score_bm25", 6).alias("score_bm25"), F.round("score_entity", 6).alias("score_entity"))
+
+
+@query("rnk_05_pool", "select query_id, count(*) as n, round(sum(score_bm25), 6) as lex, round(sum(score_entity), 6) as ent from (select query_id, chunk_id, max(l) as score_bm25, max(e) as score_entity from (select query_id, chunk_id, least(1, score / max(score) over (partition by query_id)) as l, 0.0 as e from lex_top union all select query_id, chunk_id, 0.0, least(1, score / max(score) over (partition by query_id)) from ent_top) group by all) group by query_id", "lex_top", "ent_top")
+def _(spark, d):
+    return _pooled(spark, d).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score_bm25"), 6).alias("lex"), F.round(F.sum("score_entity"), 6).alias("ent"))
 
 
 @query("join_09_mentioned_files", "select query_id, filename from route_files", "route_files")
@@ -418,7 +415,7 @@ def _(spark, d):
 def _(spark, d):
     c, q, visible = _pool(spark, d)
     # All of them: as many as there are chunks.
-    return S.entity_candidates(q, c.entities.join(visible.select("chunk_id"), "chunk_id", "left_semi"), 1 << 30).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return S.entity_candidates(q, S.only_visible(c.entities, c.documents, visible), 1 << 30).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("agg_01_index_stats", "select 'documents' as name, count(*)::varchar as value from docs union all select 'chunks', count(*)::varchar from chunks union all select 'entities', count(*)::varchar from entities union all select 'edges', count(*)::varchar from edges union all select 'edges:' || edge_type, count(*)::varchar from edges group by edge_type union all select 'last_indexed', null", "docs", "chunks", "entities", "edges")
@@ -446,27 +443,28 @@ def _(spark, d):
 
 
 @query("agg_05_dedupe_edges", "select src_chunk, dst_chunk, weight, edge_type, reason from edges", "edges")
+def _(spark, d):
+    return trade(spark, d).edges
+
+
 @query("edg_08_merge_families", "select edge_type, count(*) as n, round(sum(weight), 6) as total from edges group by edge_type", "edges")
 def _(spark, d):
     return trade(spark, d).edges.groupBy("edge_type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("total"))
 
 
-QUERIES["agg_05_dedupe_edges"] = lambda spark, d: trade(spark, d).edges
+def _entity_top(spark, d):
+    c, q, visible = _pool(spark, d)
+    return S.entity_candidates(q, S.only_visible(c.entities, c.documents, visible), 10)
 
 
 @query("agg_06_entity_top", "select query_id, chunk_id, round(least(1, score / max(score) over (partition by query_id)), 6) as score from ent_top", "ent_top")
-@query("rnk_04_entity_match", "select query_id, chunk_id, round(score, 6) as score from ent_top", "ent_top")
 def _(spark, d):
-    c, q, visible = _pool(spark, d)
-    return S.entity_candidates(q, c.entities.join(visible.select("chunk_id"), "chunk_id", "left_semi"), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return S.max_normalized(_entity_top(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-def _entity_top(spark, d):
-    c, q, visible = _pool(spark, d)
-    return S.max_normalized(S.entity_candidates(q, c.entities.join(visible.select("chunk_id"), "chunk_id", "left_semi"), 10)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
-
-
-QUERIES["agg_06_entity_top"] = _entity_top
+@query("rnk_04_entity_match", "select query_id, chunk_id, round(score, 6) as score from ent_top", "ent_top")
+def _(spark, d):
+    return _entity_top(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("agg_07_max_normalize", "select event_id, event_type, round(case when max(greatest(value, 0)) over (partition by event_type) > 0 then greatest(0, least(1, value / max(value) over (partition by event_type))) else 0 end, 6) as score from events")
@@ -497,11 +495,7 @@ _RANKP = "list_sort(list(value))[greatest(1, ceil(count(*) * {p} / 100)::integer
 
 @query("agg_11_percentiles", f"select event_type, count(*) as n, round(avg(value), 6) as mean, {', '.join(_RANKP.format(p=p) + f' as p{p}' for p in (50, 95, 99))} from events group by event_type")
 def _(spark, d):
-    # Nearest ranks by position: a sort in each group's window, without gathering its values.
-    e = read(spark, d, "events")
-    w = W.partitionBy("event_type")
-    rows = e.withColumn("at", F.row_number().over(w.orderBy("value"))).withColumn("of", F.count("*").over(w))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), *[F.max(F.when(F.col("at") == F.greatest(F.lit(1), F.ceil(F.col("of") * p / 100)), F.col("value"))).alias(f"p{p}") for p in (50, 95, 99)])
+    return V.percentiles(read(spark, d, "events"), "event_type", "value").withColumn("mean", F.round("mean", 6))
 
 
 # Top-k and sets ----------------------------------------------------------------------------------------------------
@@ -531,37 +525,35 @@ def _(spark, d):
 @query("top_02_bm25_topk", "select query_id, chunk_id, rank, round(score, 6) as score from lex_top", "lex_top")
 def _(spark, d):
     c, q, visible = _pool(spark, d)
-    return bm25(visible, q, 10, c.postings).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return bm25(q, c.postings, c.stats, 10, visible).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query("rnk_03_lexical_candidates", "select query_id, chunk_id, round(least(1, score / max(score) over (partition by query_id)), 6) as score from lex_top", "lex_top")
 def _(spark, d):
     c, q, visible = _pool(spark, d)
-    return S.max_normalized(bm25(visible, q, 10, c.postings)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return S.max_normalized(bm25(q, c.postings, c.stats, 10, visible)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("top_04_first_matches", "select entity_type, v as value, chunk_id, place from (select entity_type, v, chunk_id, row_number() over (partition by entity_type, v order by arrival, chunk_id, fam, k) as place from own_entities) where place <= 8", "own_entities")
 def _(spark, d):
     c = trade(spark, d)
-    own = E.content_entities(c.entities, c.chunks, c.arrived).withColumn("v", F.coalesce("normalized_value", "value"))
-    place = F.row_number().over(W.partitionBy("entity_type", "v").orderBy("arrival", "chunk_id", "seq"))
-    return own.withColumn("place", place.cast("long")).where("place <= 8").select("entity_type", F.col("v").alias("value"), "chunk_id", "place")
+    return E.first_matches(E.content_entities(c.entities, c.chunks, c.arrived)).select("entity_type", "value", "chunk_id", F.col("place").cast("long").alias("place"))
 
 
 @query("top_05_neighbors", "select other, weight from (select * from both_ways where node = 'cust-000000010#00000' order by weight desc, other limit 20)", "both_ways")
 def _(spark, d):
-    return E.symmetric(trade(spark, d).edges).where("node = 'cust-000000010#00000'").orderBy(F.desc("weight"), "other").limit(20).select("other", "weight")
+    return E.strongest(trade(spark, d).edges, 20).where("node = 'cust-000000010#00000'").select("other", "weight")
 
 
 @query("top_06_by_degree", "select node as chunk_id, count(*) as degree from both_ways group by node order by degree desc, chunk_id limit 50", "both_ways")
 def _(spark, d):
-    return G.degrees(trade(spark, d).edges).orderBy(F.desc("degree"), "chunk_id").limit(50)
+    return G.by_degree(trade(spark, d).edges, 50)
 
 
 @query("top_07_first_chunks", "select filename, chunk_id from (select filename, chunk_id, row_number() over (partition by filename order by chunk_index) as p from visible) where p <= 6", "visible")
 def _(spark, d):
     _, _, visible = _pool(spark, d)
-    return visible.withColumn("p", F.row_number().over(W.partitionBy("filename").orderBy("chunk_index"))).where("p <= 6").select("filename", "chunk_id")
+    return S.first_chunks(visible).select("filename", "chunk_id")
 
 
 @query("top_08_seeds", "select query_id, chunk_id from (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as p from (select *, max((chunk_signal = 'content')::int) over (partition by query_id) as has from scored) where has = 0 or chunk_signal = 'content') where p <= 10", "scored")
@@ -571,8 +563,7 @@ def _(spark, d):
 
 @query("top_09_fanout", "select node, other from (select node, other, row_number() over (partition by node order by weight desc, other) as p from both_ways where weight >= 0.62) where p <= 3", "both_ways")
 def _(spark, d):
-    e = E.symmetric(trade(spark, d).edges.where(F.col("weight") >= S.STRONG))
-    return e.withColumn("p", F.row_number().over(W.partitionBy("node").orderBy(F.desc("weight"), "other"))).where("p <= 3").select("node", "other")
+    return E.strongest(trade(spark, d).edges.where(F.col("weight") >= S.STRONG), S.FANOUT).select("node", "other")
 
 
 @query("top_10_document_order", "select doc_id, filename, row_number() over (order by filename desc) as place from docs", "docs")
@@ -585,25 +576,22 @@ def _(spark, d):
 
 @query("top_11_document_chunks", "select chunk_id, chunk_index from chunks where doc_id = 'nation-003' order by chunk_index", "chunks")
 def _(spark, d):
-    return trade(spark, d).chunks.where("doc_id = 'nation-003'").orderBy("chunk_index").select("chunk_id", "chunk_index")
+    return L.chunks_of(trade(spark, d).chunks, "nation-003").select("chunk_id", "chunk_index")
 
 
 @query("top_12_recent_first", "select user_id, max(ts) as last_used from events group by user_id order by last_used desc, user_id limit 20")
 def _(spark, d):
-    return read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_used")).orderBy(F.desc("last_used"), "user_id").limit(20)
+    return L.recent_first(read(spark, d, "events"), "user_id", "ts", 20)
 
 
 @query("top_13_link_order", "select src_chunk, dst_chunk, case edge_type when 'shared_anchor' then 1 when 'shared_entity' then 2 when 'semantic' then 3 when 'semantic_topk' then 4 when 'manifest_overlap' then 5 else 6 end as type_rank from edges order by type_rank, weight desc, src_chunk, dst_chunk limit 520", "edges")
 def _(spark, d):
-    kind = F.col("edge_type")
-    order = F.when(kind == "shared_anchor", 1).when(kind == "shared_entity", 2).when(kind == "semantic", 3).when(kind == "semantic_topk", 4).when(kind == "manifest_overlap", 5).otherwise(6)
-    return trade(spark, d).edges.withColumn("type_rank", order).orderBy("type_rank", F.desc("weight"), "src_chunk", "dst_chunk").limit(520).select("src_chunk", "dst_chunk", "type_rank")
+    return G.shown_links(trade(spark, d).edges).select("src_chunk", "dst_chunk", "type_rank")
 
 
 @query("set_01_endpoints", "select chunk_id, count(*) as n from (select src_chunk as chunk_id from edges union all select dst_chunk from edges) group by chunk_id", "edges")
 def _(spark, d):
-    e = trade(spark, d).edges
-    return e.select(F.col("src_chunk").alias("chunk_id")).unionAll(e.select("dst_chunk")).groupBy("chunk_id").agg(F.count("*").alias("n"))
+    return E.endpoints(trade(spark, d).edges).groupBy("chunk_id").agg(F.count("*").alias("n"))
 
 
 @query("set_02_distinct", "select distinct entity_type, value from entities", "entities")
@@ -619,7 +607,7 @@ def _(spark, d):
 @query("set_04_paths_minus_failed", "select filename from docs where filename not in (select filename from docs where status = 'error')", "docs")
 def _(spark, d):
     docs = trade(spark, d).documents
-    return docs.join(docs.where("status = 'error'").select("filename"), "filename", "left_anti").select("filename")
+    return L.without_failed(docs, docs.where("status = 'error'"), "filename").select("filename")
 
 
 # Changes -----------------------------------------------------------------------------------------------------------
@@ -692,7 +680,7 @@ def _(spark, d):
 @query("dml_11_workdir_catalog", "select c_mktsegment as workdir, substr(sha256(c_mktsegment), 1, 16) as workdir_id, count(*) as documents from customer group by all")
 def _(spark, d):
     c = read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("workdir")).agg(F.count("*").alias("documents"))
-    return c.select("workdir", F.substring(F.sha2("workdir", 256), 1, 16).alias("workdir_id"), "documents")
+    return L.workdirs(c).select("workdir", "workdir_id", "documents")
 
 
 # Edges -------------------------------------------------------------------------------------------------------------
@@ -749,7 +737,7 @@ def _scored(spark, d):
 def _ranked(spark, d):
     c, q, _ = _pool(spark, d)
     none = spark.createDataFrame([], "chunk_id string, embedding array<double>")
-    return S.hybrid_search(q, c.documents, c.chunks, c.entities, none, posts=c.postings, visible=c.visible)
+    return S.hybrid_search(q, c.documents, c.chunks, c.entities, none, c.postings, c.stats)
 
 
 @query("rnk_01_hybrid_search", "select query_id, rank, chunk_id, round(score, 6) as score, round(score_bm25, 6) as score_bm25, round(score_entity, 6) as score_entity, score_graph from ranked where rank <= 10", "ranked")
@@ -775,27 +763,20 @@ def _(spark, d):
 
 @query("rnk_09_promotion", "select query_id, chunk_id from ranked where promoted", "ranked")
 def _(spark, d):
-    _, q, visible = _pool(spark, d)
-    c = trade(spark, d)
-    rows = staged(_scored(spark, d).select("query_id", "chunk_id", *S.PARTS), "scored")
-    every = staged(S.rank_pool(q, rows, visible, 1 << 30), "ranked")
-    own = every.where((F.col("score_bm25") >= 0.2) | (F.col("score_entity") >= 0.2)).join(c.documents.where("doc_class = 'reference'").select("doc_id"), "doc_id", "left_semi").select("query_id", T.ascii_lower(F.col("content")).alias("ref"))
-    other = S.reference_texts(q, visible).select("query_id", "ref").join(own.select("query_id").distinct(), "query_id", "left_anti")
-    content = every.join(c.documents.where("doc_class = 'content'").select("doc_id"), "doc_id", "left_semi")
-    told = S.mentioned(own.unionByName(other), content.select("filename").distinct())
-    place = F.row_number().over(W.partitionBy("query_id", "filename").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
-    return content.join(told, ["query_id", "filename"]).withColumn("p", place).where("p = 1").select("query_id", "chunk_id")
+    c, q, visible = _pool(spark, d)
+    rows = staged(_scored(spark, d).join(visible.select("chunk_id", "filename", "content"), "chunk_id"), "scored")
+    return S.promoted(q, rows, visible).where("promoted").select("query_id", "chunk_id")
 
 
 @query("rnk_10_diversity", "select query_id, doc_id, count(*) as n, max(low) as low from ranked where rank <= 10 group by all", "ranked")
-@query("rnk_11_materialize", "select r.query_id, r.rank, v.filename, length(v.content) as chars from ranked r join visible v on v.chunk_id = r.chunk_id where rank <= 10", "ranked", "visible")
 def _(spark, d):
-    return _ranked(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), "filename", F.length("content").cast("long").alias("chars"))
+    return _ranked(spark, d).groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.max(S.is_low_signal().cast("int")).alias("low"))
 
 
-QUERIES["rnk_10_diversity"] = lambda spark, d: _ranked(spark, d).groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.max(S.is_low_signal().cast("int")).alias("low"))
+@query("rnk_11_materialize", "select r.query_id, r.rank, v.filename, length(v.content) as chars from ranked r join visible v on v.chunk_id = r.chunk_id where rank <= 10", "ranked", "visible")
+def _(spark, d):
+    return _ranked(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), "filename", F.length("content").cast("long").alias("chars"))
 
-_START = "(select distinct chunk_id as node from edge_seeds)"
 
 
 @query(
@@ -951,9 +932,7 @@ def _(spark, d):
 
 @query("evl_04_quality_index", f"select event_type, {_RANKP.format(p=95)} as p95, greatest(0, least(100, round(0.7 * 90 + 0.3 * greatest(0, 100 - {_RANKP.format(p=95)} / 5), 1))) as aqi from events group by event_type")
 def _(spark, d):
-    w = W.partitionBy("event_type")
-    rows = read(spark, d, "events").withColumn("at", F.row_number().over(w.orderBy("value"))).withColumn("of", F.count("*").over(w))
-    p = rows.groupBy("event_type").agg(F.max(F.when(F.col("at") == F.greatest(F.lit(1), F.ceil(F.col("of") * 0.95)), F.col("value"))).alias("p95"))
+    p = V.percentiles(read(spark, d, "events"), "event_type", "value", (95,))
     return p.select("event_type", "p95", V.quality_index(F.lit(0.9), F.col("p95")).alias("aqi"))
 
 
@@ -1009,8 +988,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over the trade corpus: dense, lexical and entity candidates, routing, ranking."""
     c = trade(spark, sf_dir)
     q = literal_queries(spark).withColumn("embedding", embed_text(F.col("text")))
-    vec = staged(c.chunks.select("chunk_id", embed_text(F.col("content")).alias("embedding")), "vectors")
-    return S.hybrid_search(q, c.documents, c.chunks, c.entities, vec, posts=c.postings, visible=c.visible).drop("content")
+    found = S.hybrid_search(q, c.documents, c.chunks, c.entities, c.vectors, c.postings, c.stats)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "doc_id", "filename", "promoted", *[F.round(x, 6).alias(x) for x in ("score", "score_vec", "score_bm25", "score_entity")], "score_graph")
 
 
-QUERIES["hybrid_search_dense"] = flagship
+query(
+    "hybrid_search_dense",
+    "select query_id, rank, chunk_id, doc_id, filename, promoted, round(score, 6) as score, round(score_vec, 6) as score_vec, round(score_bm25, 6) as score_bm25, round(score_entity, 6) as score_entity, score_graph from ranked_dense where rank <= 10",
+    "ranked_dense",
+)(flagship)

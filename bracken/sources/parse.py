@@ -234,23 +234,27 @@ def preprocess_plan(files: DataFrame) -> DataFrame:
     return files.select("path", F.when(~media, "none").when(F.col("sidecar").isNotNull(), "skip_fresh").otherwise("run").alias("action"))
 
 
-def parse_files(files: DataFrame, hooks: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """(path, pages, error_msg) of files (path, filename, format, content, sidecar)."""
+def parse_files(files: DataFrame, hooks: dict[str, Callable[[bytes], str]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, *keep, pages, error_msg) of files (path, filename, format, content, sidecar, *keep). A file is read once, one at a time."""
     page = pa.list_(pa.struct([("page_num", pa.int32()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, errors = [], []
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                name, kind, data, side = (batch.column(c)[i].as_py() for c in ("filename", "format", "content", "sidecar"))
                 try:
-                    out.append([{"page_num": n, "text": t} for n, t in parse_one(r["filename"], r["format"], r["content"], r["sidecar"], hooks)])
+                    out.append([{"page_num": n, "text": t} for n, t in parse_one(name, kind, data, side, hooks)])
                     errors.append(None)
                 except Exception as e:
                     out.append(None)
                     errors.append(f"{type(e).__name__}: {e}"[:500])
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, page), pa.array(errors, pa.string())], names=["path", "pages", "error_msg"])
+            own = [batch.column(c) for c in ("path", *keep)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(out, page), pa.array(errors, pa.string())], names=["path", *keep, "pages", "error_msg"])
 
-    return files.select("path", "filename", "format", "content", "sidecar").mapInArrow(run, "path string, pages array<struct<page_num:int,text:string>>, error_msg string")
+    columns = list(dict.fromkeys(["path", "filename", "format", "content", "sidecar", *keep]))
+    kept = "".join(f"{c} {files.schema[c].dataType.simpleString()}, " for c in keep)
+    return files.select(*columns).mapInArrow(run, f"path string, {kept}pages array<struct<page_num:int,text:string>>, error_msg string")
 
 
 def rows_as_text(table: DataFrame, key: str, number: str) -> DataFrame:

@@ -19,7 +19,7 @@ def watch_folder(engine: Engine, workdir: str, folder: str, checkpoint: str, max
     own = own.select("path", filename(F.col("path")).alias("filename"), format_of(F.col("path")).alias("format"), doc_class(F.col("path")).alias("doc_class"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), "content")
 
     def index(batch: DataFrame, _: int) -> None:
-        engine._index(workdir, batch, sidecars(spark, folder))
+        engine.index_files(workdir, batch, sidecars(spark, folder))
 
     return own.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
