@@ -28,7 +28,7 @@ END_ID = 1
 #: Words whose ids a worker keeps.
 CACHED = 200_000
 #: Pieces of a length that one task ranks.
-RANK_ROWS = 100_000
+RANK_ROWS = 1000
 
 
 #: Texts of these characters only are cut here: ASCII without the separators 28 to 31, and letters that no normal form changes.
