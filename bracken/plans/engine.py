@@ -17,6 +17,7 @@ from ..operators.pack import context_packs
 from ..operators.search import hybrid_search
 from ..sources.parse import list_files, parse_files, sidecars, with_sidecars
 from . import lifecycle as L
+from .shipping import ship
 from .staging import scratch, staged
 from .workspace import AlreadyIndexing, ConcurrentChange, Workspace, list_workdirs
 
@@ -33,6 +34,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, embed: Callable = embed_text, embed_version: str = "hash-384", hooks: dict | None = None, graph_search: bool = False, embed_query: Callable | None = None):
         self.spark, self.root, self.embed, self.version, self.hooks, self.graph_search = spark, root, embed, embed_version, hooks, graph_search
         self.embed_query = embed_query or embed
+        ship(spark)
 
     def workspace(self, workdir: str) -> Workspace:
         return Workspace(self.spark, self.root, workdir)
