@@ -10,7 +10,6 @@ import io
 import json
 import re
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import doc_class, filename, format_of, is_engine_output, is_supported
+from .pdf import pdf_pages
 
 #: Bytes of a JSON page, at most, where its structure allows.
 JSON_PAGE = 16 * 1024
@@ -172,23 +172,6 @@ def docx_pages(data: bytes) -> list[Page]:
     return [(None, "\n".join(out).strip())]
 
 
-def pdf_pages(data: bytes) -> list[Page]:
-    """A page for each content stream with text: literal strings of the text operators, plain or Flate streams. No OCR."""
-    pages: list[Page] = []
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        raw = m[1]
-        try:
-            raw = zlib.decompress(raw)
-        except zlib.error:
-            pass
-        if b"BT" not in raw:
-            continue
-        strings = re.findall(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")|\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ", raw, re.S)
-        text = [a or b"".join(re.findall(rb"\(((?:\\.|[^\\()])*)\)", b)) for a, b in strings]
-        pages.append((len(pages) + 1, "\n".join(re.sub(rb"\\([()\\])", rb"\1", t).decode("latin-1") for t in text)))
-    return pages or [(1, "")]
-
-
 def media_pages(name: str, kind: str, sidecar: str | None, hook: Callable[[], str] | None = None) -> list[Page]:
     """Text of an image, recording or film: its fresh sidecar, also if empty, else what the hook reads."""
     text = (sidecar if sidecar is not None else hook() if hook else "").strip()
