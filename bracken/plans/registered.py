@@ -103,7 +103,15 @@ def _(spark, d):
     return parse_files(files).select("path", F.posexplode("pages").alias("page", "p")).select("path", "page", F.length("p.text").alias("chars"))
 
 
-@query("src_11_json_pages")
+_SEGMENT = "strlen('[' || i || '].event_id: ' || event_id || chr(10) || '[' || i || '].event_type: ' || event_type || chr(10) || '[' || i || '].props: ' || props || chr(10) || '[' || i || '].value: ' || value || chr(10))"
+
+
+@query(
+    "src_11_json_pages",
+    f"with recursive seg as (select user_id, i, {_SEGMENT} as n from (select *, row_number() over (partition by user_id order by event_id) - 1 as i from events)), "
+    "walk as (select user_id, i, 1 as page, n as used from seg where i = 0 union all select s.user_id, s.i, w.page + (w.used + s.n > 16384)::integer, case when w.used + s.n > 16384 then s.n else w.used + s.n end from walk w join seg s on s.user_id = w.user_id and s.i = w.i + 1) "
+    "select '/e/' || user_id || '.json' as path, page as page_num, (max(used) - 1)::integer as bytes from walk group by user_id, page",
+)
 def _(spark, d):
     events = read(spark, d, "events").groupBy("user_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value", "props")))).alias("text"))
     path = F.concat(F.lit("/e/"), F.col("user_id").cast("string"), F.lit(".json"))
@@ -500,12 +508,13 @@ def _(spark, d):
 
 # Top-k and sets ----------------------------------------------------------------------------------------------------
 
-_VQ = f"(select chunk_id as query_id, e from {_VEC} where chunk_id in ('000000000', '000000007', '000000042'))"
+#: The questions of dense search: every fiftieth vector, against all.
+_VQ = f"(select chunk_id as query_id, e from {_VEC} where chunk_id::bigint % 50 = 0)"
 
 
 def _vector_hits(spark, d):
     v = vectors(spark, d)
-    q = v.where(F.col("chunk_id").isin("000000000", "000000007", "000000042")).select(F.col("chunk_id").alias("query_id"), "embedding")
+    q = v.where(F.col("chunk_id").cast("long") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
     return S.vector_candidates(q, v, 10)
 
 
