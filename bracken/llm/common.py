@@ -44,6 +44,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver drop what finished plans held. Their handles keep shuffle files and broadcasts alive on the executors,
+    until the driver's memory is collected, which a driver with little work does late."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Deletes all that this application has staged; call it when the results that were made from it are written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

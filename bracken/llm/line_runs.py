@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, settings, shared_dir, staged
+from .common import SPACE_CHARS, ascii_lower, settings, shared_dir, staged, tidy
 
 #: Sorted buckets are read as sorted.
 SORTED = {"spark__sql__legacy__bucketedTableScan__outputOrdering": "true"}
@@ -124,6 +124,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     runs.compact()
     # As a plain table: the join below is with all lines, and a line of most documents must be split, which buckets forbid.
     frequent = staged(runs.frequent(), "line-frequent")
+    tidy(spark)
     # The places of the lines to drop, by document; the hash of the text tells rows with the same id apart.
     lines = keys.select("id", "th", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("id", "th", "pos", "k.h1", "k.h2")
     drops = lines.join(frequent, ["h1", "h2"]).groupBy("id", "th").agg(F.collect_set("pos").alias("drops"))

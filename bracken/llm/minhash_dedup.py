@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, scan_groups, small_batches, staged
+from .common import give_back, scan_groups, small_batches, staged, tidy
 from .shingles import mix, shingle_set, word_hashes
 
 U = np.uint64
@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, id
     tagged = F.concat("sig", F.unhex(F.array_join(F.transform(tags, lambda t: F.lpad(t, 4, "0")), "")))
     sigs = staged(signed.select("nid", tagged.alias("sig")).join(met, "nid", "left_semi"), "met")
     sets = staged(_sets(docs, nodes.join(met, "nid", "left_semi"), width, id_col, text_col), "sets")
+    tidy(docs.sparkSession)
     labels = links = None
     #: Largest buckets of a node that a round looks at; None: all buckets, and all pairs between components.
     for few in (3, 6, None):
@@ -252,6 +253,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5, id
             new = staged(scan_groups(told, groups, _linker(threshold), "x long, y long").distinct(), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links, labels)
+        tidy(docs.sparkSession)
     comp = nodes.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     least = comp.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     comp = comp.select("cid", "label").join(least, "label").select("cid", "component_id")

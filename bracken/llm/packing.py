@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, inline_rows, small_batches, staged
+from .common import give_back, inline_rows, small_batches, staged, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -245,6 +245,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     gives no rows.
     """
     pieces = staged(pieces, "pieces")
+    tidy(pieces.sparkSession)
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     bins = plan_bins({x: n for x, n in counts.items() if x < capacity}, capacity)
     columns = pieces.columns
