@@ -77,7 +77,13 @@ def story(k, *more):
     return f"The report about Old Harbour and REF-{k % 3}-ALPHA was filed on 0{k % 9 + 1}/05/2026. " + " ".join(own) + ". " + " ".join(more)
 
 
-def test_hidden_documents_take_no_places(spark, tmp_path):
+@pytest.fixture
+def no_links(spark, monkeypatch):
+    """Links are made elsewhere; without them these tests take a fraction of the time."""
+    monkeypatch.setattr(Engine, "build_edges", staticmethod(lambda tables, new=None: spark.createDataFrame([], L.SCHEMAS["edges"])))
+
+
+def test_hidden_documents_take_no_places(spark, tmp_path, no_links):
     """Files that failed after they had been indexed keep their postings; searches must not see them, nor count them."""
     e = Engine(spark, f"file://{tmp_path}/root")
     (tmp_path / "in").mkdir()
@@ -126,7 +132,7 @@ def test_indexing_in_steps_links_as_at_once(spark, tmp_path):
     assert len(mine(again)) > 3 and mine(after["edges"]) == mine(again)
 
 
-def test_a_failed_write_changes_nothing(spark, tmp_path, monkeypatch):
+def test_a_failed_write_changes_nothing(spark, tmp_path, monkeypatch, no_links):
     e = Engine(spark, f"file://{tmp_path}/root")
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text(story(1))
@@ -148,7 +154,7 @@ def test_a_failed_write_changes_nothing(spark, tmp_path, monkeypatch):
     assert {f"{t}/{s}" for t in ("chunks", "edges", "gone") for s in ws._names(t)} <= named  # what the failed ones left is gone
 
 
-def test_writers_exclude_one_another(spark, tmp_path, monkeypatch):
+def test_writers_exclude_one_another(spark, tmp_path, monkeypatch, no_links):
     e, other = Engine(spark, f"file://{tmp_path}/root"), Engine(spark, f"file://{tmp_path}/root")
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text(story(1))
@@ -168,7 +174,7 @@ def test_writers_exclude_one_another(spark, tmp_path, monkeypatch):
     assert e.get_settings("/w") == {"transcription": "on"} and e.list_documents("/w").count() == 1
 
 
-def test_many_versions_are_rewritten_and_old_ones_deleted(spark, tmp_path, monkeypatch):
+def test_many_versions_are_rewritten_and_old_ones_deleted(spark, tmp_path, monkeypatch, no_links):
     monkeypatch.setattr(workspace, "MOST_SEGMENTS", 2)
     e = Engine(spark, f"file://{tmp_path}/root")
     (tmp_path / "in").mkdir()
@@ -202,7 +208,7 @@ def test_old_segments_are_filled_in(spark, tmp_path):
         ws.publish(state, tables={n: [ws.write(n, 9, ws.table(n, state))] for n in state["tables"]})
 
 
-def test_another_embedding_empties_the_index(spark, tmp_path):
+def test_another_embedding_empties_the_index(spark, tmp_path, no_links):
     (tmp_path / "in").mkdir()
     for k in range(2):
         (tmp_path / "in" / f"f{k}.md").write_text(story(k))
