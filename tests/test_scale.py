@@ -55,3 +55,11 @@ def test_merge_breaks_ties_as_upserts_would(spark):
     merged = E.merge_edges(one, two)
     assert sorted(map(tuple, merged.collect())) == [("a", "b", 0.5, "one", "p"), ("c", "d", 0.1, "two", None)]
     assert "Window" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_families_read_entities_that_are_joined_once(spark):
+    c = trade(spark, "/root/testdata/sf0.001")
+    for name in ("shared_anchor", "shared_entity", "manifest_overlap"):
+        build = getattr(E, name)
+        assert sorted(build(c.told, c.chunks, c.arrived).collect()) == sorted(build(c.entities, c.chunks, c.arrived).collect())
+    assert "LeftSemi" not in c.edge_families()["shared_entity"]._jdf.queryExecution().optimizedPlan().toString()
