@@ -6,8 +6,8 @@ from bracken.functions import text as T
 from bracken.operators import edges as E
 from bracken.operators import entities as N
 from bracken.operators import search as S
-from bracken.operators.lexical import postings
-from bracken.plans.corpora import trade
+from bracken.operators.lexical import bm25, postings
+from bracken.plans.corpora import literal_queries, trade
 
 TEXTS = [
     "Order ORD-15-F by Customer#000000010 shipped on 03/10/1998 under NAT-3-ASIA. Priority Handling for BUILDING Segment goods.",
@@ -63,3 +63,33 @@ def test_families_read_entities_that_are_joined_once(spark):
         build = getattr(E, name)
         assert sorted(build(c.told, c.chunks, c.arrived).collect()) == sorted(build(c.entities, c.chunks, c.arrived).collect())
     assert "LeftSemi" not in c.edge_families()["shared_entity"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _joins(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_of_frequent_terms_stay_where_they_are(spark):
+    c = trade(spark, "/root/testdata/sf0.001")
+    q = literal_queries(spark)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plain = sorted(bm25(q, c.postings, c.stats, 10, c.visible).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Tables of no known size: the terms are sent to the postings even so.
+        assert "SortMergeJoin" not in _joins(bm25(q, c.postings, c.stats, 10))
+        assert "Join" not in _joins(S.entity_candidates(q, c.entities, 10))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert sorted(bm25(q, c.postings, c.stats, 10, hidden=c.hidden).collect()) == plain != []
+
+
+def test_entity_scorer_agrees_with_the_expression(spark):
+    asked = ["Priority Handling for goods", "ORD-15-F", "a", "goods", "x goods y", "Priority  a b", "Émile Zola", ""]
+    values = ["priority handling", "goods", "ORD-15-F", "ord 15 f", "a", "x goods", "handling goods goods", "émile", "é", "priority\thandling", "b a", "", None, "priority handling for goods again"]
+    q = spark.createDataFrame([(f"q{k}", t) for k, t in enumerate(asked)], "query_id string, text string")
+    e = spark.createDataFrame([(f"c{k % 5}", v) for k, v in enumerate(values)], "chunk_id string, normalized_value string")
+    pairs = q.select("query_id", T.normalize_entity(F.col("text")).alias("qn")).withColumn("qt", T.entity_terms(F.col("qn"))).where((F.col("qn") != "") & (F.size("qt") > 0)).crossJoin(e)
+    slow = pairs.withColumn("m", S.entity_match(F.col("qn"), F.col("qt"), F.col("normalized_value"))).where("m > 0").groupBy("query_id", "chunk_id").agg(F.round(F.sum("m"), 9))
+    found = S.entity_candidates(q, e, None).withColumn("score", F.round("score", 9))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, slow.collect())) != []
