@@ -93,3 +93,30 @@ def test_entity_scorer_agrees_with_the_expression(spark):
     slow = pairs.withColumn("m", S.entity_match(F.col("qn"), F.col("qt"), F.col("normalized_value"))).where("m > 0").groupBy("query_id", "chunk_id").agg(F.round(F.sum("m"), 9))
     found = S.entity_candidates(q, e, None).withColumn("score", F.round("score", 9))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, slow.collect())) != []
+
+
+def test_edges_at_chunks_are_those_of_all_edges(spark):
+    c = trade(spark, "/root/testdata/sf0.001")
+    nodes = c.chunks.where("doc_id in ('cust-000000010', 'nation-003', 'title-2') or chunk_id like 'region-%'").select("chunk_id")
+    found = c.edges_at(nodes)
+    want = E.touching(c.edges, nodes)
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert {r.edge_type for r in found.collect()} >= {"same_doc", "shared_anchor", "shared_entity"}
+
+
+def test_names_are_cut_where_the_texts_are(spark):
+    texts = spark.createDataFrame([("q", "see cust_1.txt and xcust_2.txt. also cust_1.txt"), ("p", "cust_2.txtx")], "query_id string, ref string")
+    names = spark.createDataFrame([("cust_1.txt",), ("CUST_2.txt",), ("cust_3.txt",)], "filename string")
+    found = S.mentioned(texts, names)
+    assert sorted(map(tuple, found.collect())) == [("p", "CUST_2.txt"), ("q", "CUST_2.txt"), ("q", "cust_1.txt")]
+    # Runs are cut before anything is exchanged.
+    assert not any("HashAggregate(keys=[query_id" in x and "run#" in x for x in _joins(found).splitlines())
+
+
+def test_texts_are_neither_laid_out_by_trigram_nor_ranked(spark, monkeypatch):
+    c, written, write = trade(spark, "/root/testdata/sf0.001"), {}, S.staged
+    monkeypatch.setattr(S, "staged", lambda df, label: (written.update({label: df.columns}), write(df, label))[1])
+    q = literal_queries(spark).withColumn("embedding", F.lit(None).cast("array<double>"))
+    S.hybrid_search(q, c.documents, c.chunks, c.entities, c.vectors.limit(0), c.postings, c.stats, visible=c.visible, hidden=c.hidden)
+    assert written["grams"] == ["chunk_id", "gram"] and written["files"] == ["query_id", "filename"]
+    assert "content" not in written["scored"] + written["ranked"] and "hidden" not in written
