@@ -1,5 +1,8 @@
 """What keeps large tables within bounds: fast readers that agree with the expressions, and pairs that aren't written."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from bracken.functions import text as T
@@ -120,3 +123,18 @@ def test_texts_are_neither_laid_out_by_trigram_nor_ranked(spark, monkeypatch):
     S.hybrid_search(q, c.documents, c.chunks, c.entities, c.vectors.limit(0), c.postings, c.stats, visible=c.visible, hidden=c.hidden)
     assert written["grams"] == ["chunk_id", "gram"] and written["files"] == ["query_id", "filename"]
     assert "content" not in written["scored"] + written["ranked"] and "hidden" not in written
+
+
+def test_products_of_a_block_of_queries_are_bounded():
+    r = np.random.default_rng(1)
+    q, x = r.normal(size=(256, 8)), r.normal(size=(3 * S.VECTORS + 5, 8))
+    unit, keys = x / np.linalg.norm(x, axis=1, keepdims=True), np.array([f"{k:06d}" for k in range(len(x))], object)
+    best = S._Best([str(k) for k in range(len(q))], q, 5)
+    tracemalloc.start()
+    best.add(unit, keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * len(q) * len(x) * 8  # the products of all at once, their rounded values and a copy of these are three
+    sims = np.round(np.clip(best.q @ unit.T, 0, 1), 9)
+    want = {(str(k), keys[j]) for k, row in enumerate(sims) for j in np.argsort(-row, kind="stable")[:5]}
+    assert set(zip(best.found()["query_id"], best.found()["chunk_id"])) == want
