@@ -45,8 +45,14 @@ def test_a_document_is_counted_once_however_long(spark, documents, monkeypatch,
     assert sorted((*k, *v) for k, v in found.items()) == _values(N.extract_entities(chunk_texts(plain).where("chunk_signal = 'content'")))
 
 
+def test_terms_of_chunks(spark, documents):
+    want = N.terms_of(N.extract_entities(chunk_texts(documents))).select("chunk_id", "term").distinct().groupBy("term").agg(F.count("*"))
+    assert sorted(map(tuple, Y.term_counts(documents).collect())) == sorted(map(tuple, want.collect())) != []
+    assert Y.term_counts(documents.limit(0)).count() == Y.value_counts(documents.limit(0)).count() == 0
+
+
 def test_only_counts_leave_a_task(spark):
-    for name in ("join_03_shared_values",):
+    for name in ("join_03_shared_values", "set_03_distinct_terms"):
         df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "_count_" in plan and "Join" not in plan
